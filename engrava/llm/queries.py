@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from engrava.functions.instants import blank, parse_instant
+from engrava.llm.conversations import Conversations, speaker_of
 from engrava.llm.leaks import leaked
+from engrava.llm.near import NearTexts
+from engrava.llm.packing import Packing
+from engrava.llm.similar import SimilarVectors
 from engrava.llm.spans import SharedSpans
+from engrava.plans.general import deliveries
 from engrava.tables import load
 
 
@@ -27,7 +33,49 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(load(spark, sf_dir, "documents"), "doc_id", "text").shared_parts().toDF("doc_id", "n_chars", "n_shared", "share", "copies")
 
 
-QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
+def near_records(spark: SparkSession, sf_dir: str) -> NearTexts:
+    return NearTexts(load(spark, sf_dir, "records"), "vec_label", "literal_surface", share=0.70, least=14)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_records(spark, sf_dir).pairs().toDF("vec_label_a", "vec_label_b")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_records(spark, sf_dir).groups().toDF("vec_label", "group_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SimilarVectors(load(spark, sf_dir, "records"), "vec_label", "embedding", k=5, least=0.90).pairs().toDF("vec_label_a", "vec_label_b")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> Conversations:
+    of_type = lambda t, field: F.transform(F.filter("message.content", lambda b: F.lower(F.trim(b["type"])) == t), lambda b: b[field])
+    rows = load(spark, sf_dir, "rank_reversed_planted").where(~blank(F.col("sessionId"))).select(
+        F.col("sessionId").alias("session"),
+        F.col("row_id").alias("row"),
+        parse_instant(F.col("timestamp")).alias("ts"),
+        speaker_of(F.col("message.role"), F.col("type")).alias("speaker"),
+        F.coalesce(F.exists("message.content", lambda b: F.coalesce(F.lower(F.trim(b["type"])) == "text", F.lit(False)) & ~blank(b["text"])), F.lit(False)).alias("spoken"),
+        of_type("tool_use", "id").alias("uses"),
+        of_type("tool_result", "tool_use_id").alias("answers"),
+    )
+    return Conversations(rows.join(deliveries(spark, sf_dir).redundant().select(F.col("ord").alias("row")), "row", "left_anti"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).faults().select(F.col("session").alias("session_id")).distinct()
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).turns().toDF("session_id", "turn", "part", "row_id", "speaker")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Packing(load(spark, sf_dir, "documents"), "doc_id", "text").placed().toDF("doc_id", "part", "start_token", "n_tokens", "container_id")
+
+
+QUERIES = {"p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
