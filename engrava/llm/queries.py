@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engrava.functions.instants import blank, parse_instant
+from engrava.llm.clusters import MinHashClusters
 from engrava.llm.conversations import Conversations, speaker_of
 from engrava.llm.leaks import leaked
 from engrava.llm.near import NearTexts
@@ -75,7 +76,25 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packing(load(spark, sf_dir, "documents"), "doc_id", "text").placed().toDF("doc_id", "part", "start_token", "n_tokens", "container_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
+def record_clusters(spark: SparkSession, sf_dir: str) -> tuple[MinHashClusters, DataFrame]:
+    known = load(spark, sf_dir, "communities").select("community_id", F.lower(F.trim("community_id")).alias("stored")).dropDuplicates(["stored"])
+    records = load(spark, sf_dir, "records").withColumn("stored", F.lower(F.regexp_replace(F.coalesce("community_id", F.lit("")), r"^\s+|\s+$", "")))
+    return MinHashClusters(records, "vec_label", "embedding", known.count(), extra=["stored"]), known
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, known = record_clusters(spark, sf_dir)
+    rows = clusters.assigned().select("id", "cluster", "stored")
+    counts = rows.join(F.broadcast(known), "stored").groupBy("cluster", "stored", "community_id").agg(F.count("*").alias("n"))
+    right = counts.groupBy("cluster").agg(F.max_by(F.struct("stored", "community_id"), F.struct("n", "stored")).alias("c")).select("cluster", F.col("c.stored").alias("right"), "c.community_id")
+    return rows.join(F.broadcast(right), "cluster").where("stored != right").select(F.col("id").alias("vec_label"), "community_id")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_clusters(spark, sf_dir)[0].described()
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
