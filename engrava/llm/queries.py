@@ -10,6 +10,7 @@ from engrava.llm.conversations import Conversations, speaker_of
 from engrava.llm.leaks import leaked
 from engrava.llm.near import NearTexts
 from engrava.llm.packing import Packing
+from engrava.llm.pii import PersonalData
 from engrava.llm.similar import SimilarVectors
 from engrava.llm.spans import SharedSpans
 from engrava.plans.general import deliveries
@@ -94,7 +95,23 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_clusters(spark, sf_dir)[0].described()
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = load(spark, sf_dir, "rank_reversed_planted").select("row_id", F.posexplode(F.col("message.content.text")))
+    records = load(spark, sf_dir, "records").select(F.lit("records").alias("src_table"), F.col("vec_label").alias("row_key"), F.lit(0).alias("block_no"), F.col("literal_surface").alias("text"))
+    return records.union(blocks.select(F.lit("rank_reversed_planted"), "row_id", "pos", "col")).where("text is not null")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = PersonalData(load(spark, sf_dir, "name_parts"), "name_part", "part_kind")
+    return data.found(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text").select("src_table", "row_key", "block_no", "kind", "start_at")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str, key: bytes = b"set a secret of your own") -> DataFrame:
+    data = PersonalData(load(spark, sf_dir, "name_parts"), "name_part", "part_kind")
+    return data.redacted(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text", key)
+
+
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
