@@ -24,28 +24,37 @@ _POP = np.bitwise_count
 _U = np.uint64
 
 
-def _hash_words(found: list[str]) -> np.ndarray:
+_known: dict[str, int] = {}
+
+
+def _word_hash(word: str) -> int:
     import xxhash
 
-    return np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)).view(np.int64)
+    h = xxhash.xxh3_64_intdigest(word)
+    if len(_known) < 500_000:
+        _known[word] = h
+    return h
 
 
 def _word_sets(batches, least: int):
     for b in batches:
-        ids, sets, s1, s2 = [], [], [], []
+        ids, sets = [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if i is None or not t:
                 continue
             w = set(words(t))
-            if len(w) < least:
-                continue
-            h = _hash_words(list(w))
-            with np.errstate(over="ignore"):
-                s1.append(int(mix(h, 1).sum().view(np.int64))), s2.append(int(mix(h, 2).sum().view(np.int64)))
-            ids.append(i), sets.append(h)
-        if ids:
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets))), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["id", "n", "tokens", "s1", "s2"])
+            if len(w) >= least:
+                ids.append(i), sets.append(w)
+        if not ids:
+            continue
+        n = np.array([len(w) for w in sets])
+        flat = np.array([_known.get(x) or _word_hash(x) for w in sets for x in w], np.uint64).view(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        flat = flat[np.lexsort((flat, owner))]
+        starts = np.concatenate([[0], np.cumsum(n)])
+        with np.errstate(over="ignore"):
+            s1, s2 = (np.add.reduceat(mix(flat, k), starts[:-1]).view(np.int64) for k in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat)), pa.array(s1), pa.array(s2)], names=["id", "n", "tokens", "s1", "s2"])
 
 
 def budget(total, share: float):
@@ -152,7 +161,11 @@ def _candidates(batches, least: int, largest: int, share: float):
         key, ident, sketch, tag, side = (table.column(c).to_numpy() for c in range(5))
         sketch, n, ring, seg, part = sketch.view(_U), tag >> 32, tag >> 24 & 255, tag >> 4 & 0xFFFFF, tag & 15
         seen = np.empty((0, 2), np.int64)
+        widest = np.array([m - 1 for _, _, m in specs])[ring].astype(np.uint8) if max(m for _, _, m in specs) < 256 else None
         for i, j in pairs_within(runs(key)):
+            if widest is not None:  # the cheapest test first: most pairs end here
+                ok = np.flatnonzero(_POP(sketch[i] ^ sketch[j]) <= widest[i])
+                i, j = i[ok], j[ok]
             a, b = n[i], n[j]
             total = a + b
             ok = (np.minimum(a, b) >= share * np.maximum(a, b) - 1e-9) & (ident[i] != ident[j]) & ((part[i] != 2) | (part[j] != 2)) & (seg[i] == seg[j]) & ((side[i] < 0) | (side[i] != side[j]))
