@@ -12,7 +12,7 @@ from engrava.llm.kit import batch_of, mix, pairs_within, runs, vectors, whole_gr
 from engrava.operators.skew import lookup_join
 from engrava.storage import materialize
 
-#: Rows that the rotations are fitted on (the ones with the least hash of their id).
+#: Rows, about, that the rotations are fitted on: those whose id has a small hash.
 SAMPLE = 20_000
 ROTATIONS, ROUNDS = 3, 12
 #: Substrings of a code, each with an index of its own.
@@ -186,7 +186,9 @@ class SimilarVectors:
 
         width, least, k = self.width, self.least, self.k
         n = self.units.count()
-        sample = self.units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("u").toArrow()
+        # rows whose hash falls in the wanted share, so no task gathers more than the sample
+        share = min(1.0, SAMPLE / max(n, 1))
+        sample = self.units.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("u").toArrow()
         mean, to = fit_codes(_matrix(sample.column(0), width))
         bits = to.shape[1]
         length = int(min(bits // TABLES, 24, max(4, round(math.log2(max(n, 1) / LOAD)))))
