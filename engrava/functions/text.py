@@ -10,7 +10,6 @@ from pyspark.sql import Column, functions as F
 
 # What the classifiers look for.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]{1,}|[0-9]{3,}"
-CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 IDENTIFIER = [r'"[^"]{4,}"', r"\b(?:[A-Za-z_]\w*\d|\d\w*[A-Za-z_])\w*\b", r"\b\w+_\w+\b", r"\b[a-z]+[A-Z]\w*\b", r"\b[A-Z]{5,}\b", r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b", r"\b[A-Za-z_]\w*/[A-Za-z_]\w\S*"]
 ESTIMATE = ["approximately", "roughly", "about", "around", "probably", "i think", "seems?", "i(?:'d)? guess", "more or less"]
 HYPOTHESIS = ["maybe", "might be", "could be that", "i suspect", "what if", "could be", "possibly", "perhaps"]
@@ -33,30 +32,39 @@ def _any_word(words: list[str]) -> str:
     return r"(?i)\b(?:" + "|".join(words) + r")\b"
 
 
+#: Marks camel boundaries while a text is tokenised; no text has it.
+_SEAM = "\u0001"
+_TOKEN_WITH_SEAMS = rf"[A-Za-z_][A-Za-z0-9_{_SEAM}]*[A-Za-z0-9_]|[0-9]{{3,}}"
+
+
 def tokens(text: Column) -> Column:
     """Identifiers of two or more characters and numbers of three or more, lower-cased, each followed by its snake and
-    camel parts (of three or more characters, if there are several)."""
+    camel parts (of three or more characters, if there are several).
+
+    Camel boundaries are marked in the whole text at once, so that only tokens with parts are looked at again.
+    """
     long = lambda a: F.filter(a, lambda p: F.length(p) > 2)
-    several = lambda a: F.when(F.size(a) > 1, a).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
 
     def parts(raw: Column) -> Column:
-        snake = long(F.split(F.lower(raw), "_"))
-        camel = F.transform(long(F.split(raw, CAMEL)), lambda p: F.lower(p))
-        return F.concat(F.array(F.lower(raw)), several(snake), several(camel))
+        whole = F.array(F.replace(F.lower(raw), F.lit(_SEAM), F.lit("")))
+        several = lambda mark, drop: F.when(raw.contains(mark), F.transform(F.array(long(F.split(F.replace(F.lower(raw), F.lit(drop), F.lit("")), mark))), lambda p: F.when(F.size(p) > 1, p).otherwise(none))[0]).otherwise(none)
+        return F.when(raw.contains("_") | raw.contains(_SEAM), F.concat(whole, several("_", _SEAM), several(_SEAM, "\u0002"))).otherwise(whole)
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), parts))
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", f"$1{_SEAM}$2"), "([A-Z])([A-Z][a-z])", f"$1{_SEAM}$2")
+    return F.flatten(F.transform(F.regexp_extract_all(marked, F.lit(_TOKEN_WITH_SEAMS), F.lit(0)), parts))
 
 
 def trigrams(text: Column) -> Column:
     """Distinct substrings of three characters, in order of first occurrence."""
-    n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
     """Shared over all trigrams of two lower-cased texts; 0 if either is shorter than three characters."""
     x, y = trigrams(F.lower(a)), trigrams(F.lower(b))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+    shared = F.size(F.array_intersect(x, y))
+    return shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1))  # no branch, so each part is computed once
 
 
 def contains_cue(text: Column, cue: str) -> Column:

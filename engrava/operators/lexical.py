@@ -8,20 +8,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from engrava.functions.text import tokens
+from engrava.storage import materialize
 
 K1, B = 1.2, 0.75
 MOST_QUERY_TOKENS = 8
 
 
+def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, t): the tokens of each document, computed once (the generator keeps later columns from repeating it)."""
+    return docs.select(F.col(key).alias("doc"), F.explode(F.array(tokens(F.col(text)))).alias("t")).where(F.size("t") > 0)
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf, len): one row per document and token. A document's tokens are counted where it is."""
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    t = tokenized(docs, key, text)
     return t.select("doc", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def stats(docs: DataFrame, text: str) -> DataFrame:
+def stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row: n_docs with a token, and their mean length, at least 1."""
-    return docs.select(F.size(tokens(F.col(text))).alias("len")).where("len > 0").agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
+    return tokenized(docs, key, text).select(F.size("t").alias("len")).agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -44,14 +50,17 @@ def query_tokens(text: str, most: int = MOST_QUERY_TOKENS) -> list[str]:
 
 
 def scored(docs: DataFrame, key: str, text: str, query: str, most: int = MOST_QUERY_TOKENS) -> DataFrame:
-    """(doc, token, score) of a query's tokens. Only their postings leave the scan: each document reports its counts
-    of the few query tokens, and the statistics are one row."""
+    """(doc, token, score) of a query's tokens.
+
+    Texts are read and tokenised once, into a narrow table of lengths and of the few query tokens each document has;
+    the statistics (one row) and the scores both come from it.
+    """
     wanted = query_tokens(query, most)
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
     few = F.filter("t", lambda x: x.isin(wanted)) if wanted else F.array().cast("array<string>")
-    hit = t.select("doc", F.size("t").alias("len"), F.explode(few).alias("token")).groupBy("doc", "token", "len").agg(F.count("*").alias("tf"))
+    narrow = materialize(tokenized(docs, key, text).select("doc", F.size("t").alias("len"), few.alias("few")), "tokens")
+    hit = narrow.where(F.size("few") > 0).select("doc", "len", F.explode("few").alias("token")).groupBy("doc", "token", "len").agg(F.count("*").alias("tf"))
     df = hit.groupBy("token").agg(F.count("*").alias("df"))  # at most ``most`` rows
-    s = stats(docs, text)  # one row
+    s = narrow.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))  # one row
     return hit.join(F.broadcast(df), "token").join(F.broadcast(s)).select("doc", "token", bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("avg_len")).alias("score"))
 
 

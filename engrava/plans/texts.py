@@ -175,7 +175,7 @@ def lexical_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("lexical_stats", f"SELECT count(*) AS n_docs, round(greatest(1.0, avg(len)), 6) AS avg_len FROM (SELECT DISTINCT doc, len FROM {_POST})")
 def lexical_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.stats(lowered(spark, sf_dir), "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+    return lex.stats(lowered(spark, sf_dir), "vec_label", "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 @q("lexical_search_any", f"{_BM} SELECT doc, round(sum(score), 6) AS score FROM x GROUP BY doc ORDER BY sum(score) DESC, doc LIMIT 20")
