@@ -111,8 +111,8 @@ def _windows(key, doc, at, side, strings, span, pairs):
     h, d, own = h[fresh], d[fresh], own[fresh]
     bounds = runs(h)
     with np.errstate(over="ignore"):
-        members = np.add.reduceat(mix(d, 5), bounds[:-1])
-    _, one = np.unique(members, return_index=True)  # groups of the same texts give the same pairs
+        members = np.add.reduceat(mix((mix(d, 5) + mix(side[own], 6)).view(np.int64), 8), bounds[:-1])
+    _, one = np.unique(members, return_index=True)  # groups of the same texts and sides give the same pairs
     take = np.zeros(len(bounds) - 1, bool)
     take[one] = True
     rows = np.repeat(take, np.diff(bounds))
