@@ -54,7 +54,7 @@ class Names:
         w = word.lower()
         got = self._ends.get(w)
         if got is None:
-            got = tuple(any(w[-n:] in self.tails[k] for n in range(3, len(w) - 1)) for k in ("given", "family"))
+            got = tuple(any(w[-n:] in self.tails[k] for n in range(least, len(w) - 1)) for k, least in (("given", 3), ("family", 4)))
             if len(self._ends) < 1_000_000:
                 self._ends[w] = got
         return got
@@ -101,7 +101,7 @@ ID_NUMBER = re.compile(
 )
 
 _NAME = r"[^\W\d_][\w'’]*"
-_WAY = r"(?:street|str|st|road|rd|lane|ln|avenue|ave|court|ct|drive|dr|way|close|square|sq|terrace|place|boulevard|blvd)\b\.?"
+_WAY = r"(?:street|str|st|road|rd|lane|ln|avenue|ave|court|ct|drive|dr|way|close|square|sq|terrace|place|boulevard|blvd)\b(?!\s+level)\.?"
 _UNIT = r"(?:apt|apartment|unit|suite|ste|flat|room|floor)\.?\s?#?\d+[a-z]?"
 _TOWN = r"(?:,\s(?:\d{4,5}\s)?[^\W\d_][\w'’\-]{2,})"
 ADDRESS = re.compile(
@@ -143,14 +143,14 @@ class Finder:
             for m in SPOKEN.finditer(text):
                 add(m.start(), m.end(), "email")
         if any(c.isdigit() for c in text):
-            for m in ADDRESS.finditer(text):
-                add(*_trimmed(text, m), "address")
             for m in ID_NUMBER.finditer(text):
                 add(m.start(), m.end(), "id_number")
             for m in PHONE.finditer(text):
                 digits = sum(c.isdigit() for c in m.group())
                 if 7 <= digits <= 20:
                     add(m.start(), m.end(), "phone")
+            for m in ADDRESS.finditer(text):
+                add(m.start(), m.end(), "address")
         for s, e in self._persons(text):
             add(s, e, "person")
         return sorted(found)
@@ -178,7 +178,7 @@ class Finder:
                 if gap.isspace() and len(p) > 1 and given(p) and not kinds(p)[1] and not _inside(text, ps):
                     start = ps
                 elif len(p) == 1 and (gap.strip() == "." or gap.isspace()) and not _inside(text, ps):
-                    start = ps if "." in gap or p.isupper() else None
+                    start = ps if "." in gap or p.isupper() and not re.search(r"\d\s$", text[max(0, ps - 2) : ps]) else None
                     if i > 1 and len(tokens[i - 2][0]) > 1 and given(tokens[i - 2][0]) and text[tokens[i - 2][2] : ps].isspace() and not _inside(text, tokens[i - 2][1]):
                         start = tokens[i - 2][1]
             if start is None and j + 1 < n and re.fullmatch(r",\s+", text[end : tokens[j + 1][1]]) and given(tokens[j + 1][0]) and not kinds(tokens[j + 1][0])[1] and not _inside(text, s) and not re.match(r"[\w@+.][\w@+]", text[tokens[j + 1][2] : tokens[j + 1][2] + 2]):
@@ -195,10 +195,6 @@ def _inside(text: str, at: int) -> bool:
     return at > 0 and text[at - 1] in "@.+_/-\\" and at > 1 and text[at - 2].isalnum()
 
 
-def _trimmed(text: str, m: re.Match) -> tuple[int, int]:
-    return m.start(), m.end()
-
-
 # ---- pseudonyms
 
 
