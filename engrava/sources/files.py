@@ -17,9 +17,11 @@ SUFFIXES = (".txt", ".md", ".csv", ".html", ".htm", ".rtf", ".docx", ".pptx", ".
 
 def transcript_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines): newline-JSON by a given schema; a line that doesn't parse is in the second, not an error."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").json(path)
-    lines = raw.select("*", raw.metadataColumn("_metadata")["file_path"].alias("file"))
-    return lines.where("_corrupt_record IS NULL").drop("_corrupt_record"), lines.where("_corrupt_record IS NOT NULL").select("file", F.col("_corrupt_record").alias("line"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = raw.select("value", raw.metadataColumn("_metadata")["file_path"].alias("file"), parsed.alias("r"))
+    good = lines.where("r._corrupt_record IS NULL").select("r.*", "file").drop("_corrupt_record")
+    return good, lines.where("r._corrupt_record IS NOT NULL").select("file", F.col("value").alias("line"))
 
 
 def html_text(source: str) -> str:
