@@ -175,4 +175,18 @@ def window_use_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.agg(F.count("*").alias("n_users"), F.round(F.avg("rate"), 6).alias("use_rate"), F.round(F.greatest(F.lit(0.90), F.least(F.lit(1.10), 1.0 + step)), 6).alias("weight"))
 
 
+@q("cofire_uses")
+def cofire_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engrava.operators.cofire import transcript_uses
+
+    return transcript_uses(load(spark, sf_dir, "rank_reversed_planted")).select("session", "row_id", F.size("used").alias("n_used"), F.array_join("used", " ").alias("used"))
+
+
+@q("cofire_pairs")
+def cofire_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engrava.operators.cofire import transcript_uses, use_pairs
+
+    return use_pairs(transcript_uses(load(spark, sf_dir, "rank_reversed_planted")))
+
+
 QUERIES, SQL = q.queries, q.sql

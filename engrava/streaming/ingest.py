@@ -6,6 +6,7 @@ that lost an executor, or its driver, goes on from the last committed batch. Sta
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from engrava.storage import shared_dir
+from engrava.storage import _delete, shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -28,6 +29,7 @@ def drained(stream: DataFrame, mode: str = "append", name: str | None = None, ea
     """Run the stream over all there is and read what it wrote. With ``each`` batches go through it (foreachBatch)."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/engrava/stream-{name or uuid.uuid4().hex}"
+    atexit.register(_delete, spark, base)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if each is not None:
         q = writer.outputMode(mode).foreachBatch(lambda df, n: each(df, n, f"{base}/out")).start()

@@ -150,3 +150,14 @@ def test_chunks_overlap_and_short_tails(spark):
     text = " ".join(f"w{i}." if i % 10 == 9 else f"w{i}" for i in range(100))
     got = [r.chunk for r in lex.chunked(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "k int, t string"), "k", "t", 30, 6).orderBy("chunk_no").collect()]
     assert got[0].startswith("w0") and got[0].endswith("w19.") and got[1].startswith("w14") and got[-1].endswith("w99.")
+
+
+def test_used_hits(spark):
+    from engrava.operators.cofire import use_pairs, used_hits
+
+    hits = [("a", 0.9, "alpha beta"), ("b", 0.8, "beta"), ("c", 0.7, "gamma (x)"), ("d", 0.6, None)]
+    rows = [(1, hits, "so gamma (x), then alpha beta."), (2, hits, "alpha beta and beta"), (3, hits[:1], "alpha beta"), (4, hits, None), (5, None, "alpha beta"), (6, hits[:2], "beta alpha beta")]
+    df = spark.createDataFrame(rows, "i int, hits array<struct<record_id: string, score: double, literal_surface: string>>, reply string")
+    got = df.select("i", used_hits(F.col("hits"), F.col("reply")).alias("used"))
+    assert {r.i: r.used for r in got.collect()} == {1: ["c", "a"], 2: ["a", "b"], 3: [], 4: [], 5: [], 6: ["b", "a"]}
+    assert {(r.a, r.b, r.n) for r in use_pairs(got.withColumn("session", F.lit("s"))).collect()} == {("c", "a", 1), ("a", "b", 1), ("b", "a", 1)}
