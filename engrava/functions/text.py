@@ -134,6 +134,30 @@ def entity_anchors(text: Column, most: int = 16) -> Column:
     return F.slice(F.array_distinct(good), 1, most)
 
 
+def anchor_overlap(cue_tokens: list[str], anchors: Column) -> Column:
+    """Share of the cue's tokens that an anchor answers: equal, or one starts the other, with a stem of five letters
+    or more and three more at most."""
+    if not cue_tokens:
+        return F.lit(0.0)
+
+    def answered(t: str) -> Column:
+        close = lambda a: ((F.startswith(a, F.lit(t)) & (len(t) >= 5)) | (F.startswith(F.lit(t), a) & (F.length(a) >= 5))) & (F.abs(F.length(a) - len(t)) <= 3)
+        return F.exists(anchors, lambda a: (a == t) | close(a)).cast("int")
+
+    return F.coalesce(reduce(lambda x, y: x + y, map(answered, cue_tokens)) / len(cue_tokens), F.lit(0.0))
+
+
+def index_parts(index: Column, mark: str) -> Column:
+    """Segments of an index text like E:alpha/beta T:x/y that follow a mark."""
+    body = F.regexp_extract(F.coalesce(index, F.lit("")), rf"(?:^|\s){mark}:(\S+)", 1)
+    return F.filter(F.split(F.lower(body), "/"), lambda x: x != "")
+
+
+def gain(profile: Column, keys: list[str]) -> Column:
+    """Product of the gains that a MAP<STRING, DOUBLE> has for the keys; 1 for absent ones."""
+    return reduce(lambda x, y: x * y, [F.coalesce(F.try_element_at(profile, F.lit(k)), F.lit(1.0)) for k in keys], F.lit(1.0))
+
+
 def age_label(age_seconds: Column) -> Column:
     """One coarse unit: 45m, 3h, 12d, 5w, 8mo, 2y; empty for the future."""
     s = age_seconds.cast("double")

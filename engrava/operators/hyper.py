@@ -115,6 +115,24 @@ def cleaned_up(queries: DataFrame, codebook: DataFrame, n: int = BITS, most: flo
     return d.groupBy("key").agg(F.min(F.struct("far", "name")).alias("m")).where(F.col("m.far") <= most).select("key", "m.name", F.round("m.far", 6).alias("far"))
 
 
+def structured(fillers: dict[str, Column], n: int = BITS) -> list[Column]:
+    """Role and filler bound, for each role: bundle them (``bundled``) for a record's structure."""
+    return [bind(F.array(*[F.lit(x) for x in role_vector(r, n)]), f) for r, f in fillers.items()]
+
+
+def unpacked(structure: Column, role: str, n: int = BITS) -> Column:
+    """A noisy copy of the filler of a role, to be cleaned up against a codebook."""
+    return bind(structure, F.array(*[F.lit(x) for x in role_vector(role, n)]))
+
+
+def orthogonalised(a: Column, b: Column) -> Column:
+    """The part of a dense vector a that is orthogonal to b; a itself where b has no length."""
+    from engrava.functions.vector import dot
+
+    k = F.when(dot(b, b) > 0, dot(a, b) / dot(b, b)).otherwise(0.0)
+    return F.zip_with(a, b, lambda x, y: x - k * y)
+
+
 # ---- phases (0..255)
 
 

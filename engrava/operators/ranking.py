@@ -72,3 +72,28 @@ def community_gate(hits: DataFrame, community: str, cos: str, k: int = 3) -> Dat
 
 def claim_verdict(newest_days: Column, contradicted: Column, n_evidence: Column) -> Column:
     return F.when(contradicted, "CONTRADICTED").when(n_evidence == 0, "NO_EVIDENCE").when(newest_days >= 7, "UNCONFIRMED").otherwise("CURRENT")
+
+
+def packed(hits: DataFrame, group: str, score: str, boost: Column, cost: str, served: DataFrame, key: str, floor: float, budget: int, most: int = 10) -> DataFrame:
+    """A pack to offer unasked: hits above a floor that weren't served before, in boosted order but with their raw
+    score, until the budget is full."""
+    from engrava.operators.analytics import budget_packed
+
+    fresh = hits.where(F.col(score) >= floor).join(served.select(key).distinct(), key, "left_anti")
+    order = F.row_number().over(W.partitionBy(group).orderBy(F.desc(F.col(score) * boost), key))
+    return budget_packed(fresh.withColumn("rank", order), group, "rank", cost, budget, most)
+
+
+def reclaimed(hits: DataFrame, markers: DataFrame, group: str, rank: str, cost: str, budget: int, share: float = 0.25) -> DataFrame:
+    """Markers may take up to ``share`` of the budget, in their order; hits fill what is left, lowest ranks go first."""
+    w = lambda: W.partitionBy(group).orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow)
+    m = markers.withColumn("run", F.sum(cost).over(w())).where(F.col("run") <= budget * share)
+    used = m.groupBy(group).agg(F.max("run").alias("used"))
+    h = hits.withColumn("run", F.sum(cost).over(w())).join(used, group, "left").where(F.col("run") <= budget - F.coalesce("used", F.lit(0)))
+    return h.select(*hits.columns, F.lit(False).alias("marker")).unionByName(m.select(*hits.columns, F.lit(True).alias("marker")))
+
+
+def adaptive(activity: float, low: tuple[int, int, float] = (400, 1, 0.6), high: tuple[int, int, float] = (1600, 2, 0.3)) -> tuple[int, int, float]:
+    """(token budget, hops, threshold) between a quiet and a busy state."""
+    a = min(1.0, max(0.0, activity))
+    return round(low[0] + a * (high[0] - low[0])), round(low[1] + a * (high[1] - low[1])), low[2] + a * (high[2] - low[2])
