@@ -111,10 +111,9 @@ def propagated_communities(g: DataFrame, rounds: int = 8) -> DataFrame:
 def modularity(g: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
     """One row q: the sum over communities of inside / m - gamma (degree sum / 2m)^2; unlabelled nodes are left out."""
     e = g.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
-    m = e.agg(F.count("*").alias("m"))  # one row
-    inside = e.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("w"))
-    sums = e.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("s"))
-    return sums.join(inside, "c", "left").join(F.broadcast(m)).agg(F.sum(F.coalesce("w", F.lit(0)) / F.col("m") - gamma * F.pow(F.col("s") / (2 * F.col("m")), 2)).alias("q"))
+    m = e.agg(F.count("*").alias("m"), F.count_if(F.col("ca") == F.col("cb")).alias("inside"))  # one row
+    squares = e.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("squares"))  # whole numbers, so their order doesn't matter
+    return m.join(squares).select((F.col("inside") / F.col("m") - gamma * (F.col("squares") / (4 * F.col("m") * F.col("m")))).alias("q"))
 
 
 def rich_club(g: DataFrame, quantile: float = 0.9) -> DataFrame:

@@ -87,9 +87,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "records").where("trim(coalesce(community_id, '')) <> ''").select(F.col("id").alias("node"), F.lower(F.trim("community_id")).alias("c"))
 
 
-@q("graph_modularity", f"WITH g AS {_G}, l AS {_LAB}, e AS (SELECT x.c AS ca, y.c AS cb FROM g JOIN l x ON x.node = g.a JOIN l y ON y.node = g.b), m AS (SELECT count(*) AS m FROM e), s AS (SELECT c, count(*) AS s FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY c), i AS (SELECT ca AS c, count(*) AS w FROM e WHERE ca = cb GROUP BY ca) SELECT round(sum(coalesce(w, 0) / m - pow(s / (2 * m), 2)), 6) AS q FROM s LEFT JOIN i ON i.c = s.c, m")
+@q("graph_modularity", f"WITH g AS {_G}, l AS {_LAB}, e AS (SELECT x.c AS ca, y.c AS cb FROM g JOIN l x ON x.node = g.a JOIN l y ON y.node = g.b), s AS (SELECT c, count(*) AS s FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY c) SELECT round((SELECT count(*) FILTER (ca = cb) / count(*) FROM e) - (SELECT sum(s * s) FROM s) / (4 * (SELECT count(*) FROM e) * (SELECT count(*) FROM e)), 7) AS q")
 def graph_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.modularity(graph(spark, sf_dir), labels(spark, sf_dir)).select(F.round("q", 6).alias("q"))
+    return gr.modularity(graph(spark, sf_dir), labels(spark, sf_dir)).select(F.round("q", 7).alias("q"))
 
 
 @q("graph_singletons", f"SELECT round(count(*) FILTER (n = 1) / count(*), 6) AS singleton_ratio, count(*) AS n_communities FROM (SELECT c, count(*) AS n FROM {_LAB} GROUP BY c)")
