@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from engrava.operators.components import connected_components
+from engrava.operators.skew import lookup_join
 from engrava.storage import discard, materialize
 
 
@@ -108,6 +110,19 @@ def propagated_communities(g: DataFrame, rounds: int = 8) -> DataFrame:
     return labels
 
 
+def bounded_clusters(g: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
+    """(node, component, n) of BIGINT edges: components of at least ``least`` nodes. One of more than ``most`` nodes is
+    split by communities, whose connected parts stand for it; a part is not split again, whatever its size."""
+    c = materialize(connected_components(g, "a", "b"), "cc")
+    sized = lambda x: lookup_join(x, x.groupBy("component").agg(F.count("*").alias("n")), ["component"], "inner").select("node", "component", "n")
+    all_of = materialize(sized(c), "cc")
+    giant = materialize(g.join(all_of.where(F.col("n") > most).select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"), "giant")
+    l = propagated_communities(giant)  # noqa: E741
+    inside = giant.join(l.toDF("a", "ca"), "a").join(l.toDF("b", "cb"), "b").where("ca = cb")
+    parts = sized(materialize(connected_components(inside, "a", "b"), "cc"))
+    return all_of.where(F.col("n") <= most).union(parts).where(F.col("n") >= least)
+
+
 def modularity(g: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
     """One row q: the sum over communities of inside / m - gamma (degree sum / 2m)^2; unlabelled nodes are left out."""
     e = g.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from engrava.functions.vector import cosine
 from engrava.operators import graphs as gr, hyper as hd
 from engrava.operators.components import connected_components
+from engrava.plans.general import canonical_id
 from engrava.plans.joined import _E, clean_edges
 from engrava.plans.registry import Queries
 from engrava.storage import materialize
 from engrava.tables import load
 
 q = Queries()
+#: Kinds that clusters for consolidation are made of.
+CONNECTIVE = ("hebbian", "pattern_separation_seed", "hebbian_cluster_replay")
 _G = f"(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {_E} WHERE edge_type IN ('hebbian', 'entity_shared', 'contradicts') AND src <> dst)"
 _A = f"(SELECT a AS u, b AS v FROM g UNION ALL SELECT b, a FROM g)"
 
@@ -136,6 +139,15 @@ def graph_consolidation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(e, "x", "y").groupBy("component").agg(F.count("*").alias("n")).where("n >= 3")
 
 
+@q("graph_consolidation_clusters_whole")
+def graph_consolidation_clusters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, component, n) by vec_label, over all three kinds that connect living episodic records."""
+    r = load(spark, sf_dir, "records").where("tier = 'episodic' AND trim(coalesce(tombstoned_at, '')) = ''").select("id", "vec_label")
+    e = load(spark, sf_dir, "edges").where(F.col("edge_type").isin(*CONNECTIVE) & ~F.isnan("weight") & (F.col("weight") >= 0.05))
+    g = gr.simple(e.select("src", canonical_id(F.col("dst")).alias("dst"))).join(r.toDF("a", "x"), "a").join(r.toDF("b", "y"), "b")
+    return gr.bounded_clusters(gr.simple(g, "x", "y"))
+
+
 @q("graph_hubness", "WITH h AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 40), p AS (SELECT a.vec_id, list_cosine_similarity(a.e, b.e) AS c FROM h a JOIN h b ON a.vec_id <> b.vec_id) SELECT vec_id, round(avg(c), 6) AS mean_cos, round(max(c), 6) AS max_cos, avg(c) > 0.85 AS is_hub FROM p GROUP BY vec_id")
 def graph_hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the served hits (at most 40)."""
