@@ -110,6 +110,16 @@ def propagated_communities(g: DataFrame, rounds: int = 8) -> DataFrame:
     return labels
 
 
+def components(g: DataFrame) -> DataFrame:
+    """(node, component): the least node of each component, for nodes of any kind that has an order. Ids are given to
+    all nodes and written once, so they don't change under way."""
+    g = materialize(g, "g")
+    ids = materialize(arcs(g).select(F.col("u").alias("node")).distinct().select("node", F.monotonically_increasing_id().alias("id")), "ids")
+    e = g.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b")
+    c = materialize(connected_components(e, "x", "y").toDF("id", "root").join(ids, "id"), "cc")
+    return lookup_join(c, c.groupBy("root").agg(F.min("node").alias("component")), ["root"], "inner").select("node", "component")
+
+
 def bounded_clusters(g: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     """(node, component, n) of BIGINT edges: components of at least ``least`` nodes. One of more than ``most`` nodes is
     split by communities, whose connected parts stand for it; a part is not split again, whatever its size."""

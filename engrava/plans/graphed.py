@@ -38,6 +38,12 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(numbered(spark, sf_dir), "x", "y")
 
 
+@q("graph_components_whole")
+def graph_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same graph as graph_degrees."""
+    return gr.components(graph(spark, sf_dir))
+
+
 @q("graph_degrees", f"WITH g AS {_G} SELECT u AS node, count(*) AS degree FROM {_A} GROUP BY u")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.degrees(graph(spark, sf_dir))

@@ -66,3 +66,13 @@ def test_giant_component_is_split(spark):
     assert len(got) > 10 and max(map(len, got)) < 200
     assert all(len(set(union_find([e for e in edges if set(e) <= set(c)]).values())) == 1 for c in got)
     assert sum(map(len, got)) == len({x for c in got for x in c}) > 200
+
+
+def test_components_take_the_whole_graph(spark, tmp_path):
+    rng = random.Random(7)
+    kinds = ["hebbian", "entity_shared", "contradicts", "temporal_next"]
+    edges = [(f"r{rng.randrange(200)}", f"r{rng.randrange(200)}", rng.choice(kinds), 0.5) for _ in range(180)] + [("hub", f"h{i}", "hebbian", 0.1) for i in range(50)] + [("h3", "unknown", "contradicts", 0.2)]
+    d = tables(spark, tmp_path, [("hub", 1, "episodic", None)], edges)
+    want = union_find([(a, b) for a, b, k, _ in edges if k != "temporal_next" and a != b])
+    got = {r.node: r.component for r in graphed.graph_components_whole(spark, d).collect()}
+    assert got == want and got["unknown"] == "h0"
