@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from engrava.functions.vector import cosine
 from engrava.operators import graphs as gr, hyper as hd
 from engrava.operators.components import connected_components
+from engrava.operators.paths import Graph
 from engrava.plans.general import canonical_id
 from engrava.plans.joined import _E, clean_edges
 from engrava.plans.registry import Queries
@@ -72,16 +73,29 @@ def graph_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.harmonic(gr.distances(g, gr.landmarks(g, 2), most=4)).select("node", F.round("harmonic", 6).alias("harmonic"))
 
 
+@q("graph_distances_whole")
+def graph_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(graph(spark, sf_dir)).distances()
+
+
+@q("graph_harmonic_whole")
+def graph_harmonic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(graph(spark, sf_dir)).reach().select("node", F.round("harmonic", 6).alias("harmonic"))
+
+
 @q("graph_mean_path_length")
 def graph_mean_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all pairs in the largest component; of equal ones, that of the least node."""
     g = materialize(graph(spark, sf_dir), "g")
-    return gr.mean_path_length(gr.distances(g, gr.landmarks(g, 4)))
+    c = materialize(gr.components(g), "cc")
+    top = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    r = Graph(g.join(c.join(F.broadcast(top), "component").select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")).reach()
+    return r.agg((F.sum("total") / F.sum("n")).alias("apsl"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
 @q("graph_betweenness")
 def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = materialize(graph(spark, sf_dir), "g")
-    return gr.betweenness(g, gr.landmarks(g, 4), gr.degrees(g).count())
+    return Graph(graph(spark, sf_dir)).betweenness()
 
 
 @q("graph_communities")

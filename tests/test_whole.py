@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from engrava.operators import graphs as gr
+from engrava.operators import graphs as gr, paths
 from engrava.plans import graphed
 
 
@@ -76,3 +76,48 @@ def test_components_take_the_whole_graph(spark, tmp_path):
     want = union_find([(a, b) for a, b, k, _ in edges if k != "temporal_next" and a != b])
     got = {r.node: r.component for r in graphed.graph_components_whole(spark, d).collect()}
     assert got == want and got["unknown"] == "h0"
+
+
+def brute(edges):
+    """Per source: distances, and counts of shortest paths."""
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    dist, count = {}, {}
+    for s in near:
+        d, c, front = {s: 0}, Counter({s: 1}), [s]
+        while front:
+            new = {w for v in front for w in near[v] if w not in d}
+            for w in new:
+                d[w] = d[front[0]] + 1
+            for v in front:
+                for w in near[v] & new:
+                    c[w] += c[v]
+            front = list(new)
+        dist[s], count[s] = d, c
+    return dist, count
+
+
+@pytest.fixture(scope="module")
+def winding(spark, tmp_path_factory):
+    """A tail of twelve nodes on a random part, and a pair apart."""
+    rng = random.Random(11)
+    edges = [(f"t{i:02}", f"t{i + 1:02}") for i in range(11)] + [("t11", "r00"), ("p", "q")] + [(f"r{a:02}", f"r{b:02}") for a, b in (rng.sample(range(70), 2) for _ in range(110))]
+    return tables(spark, tmp_path_factory.mktemp("winding"), [("p", 1, "episodic", None)], [(a, b, "hebbian", 0.5) for a, b in edges]), brute(edges)
+
+
+def test_paths_reach_all_nodes(spark, winding, monkeypatch):
+    monkeypatch.setattr(paths, "WORDS", 1)  # two blocks of sources
+    d, (dist, count) = winding
+    got = {(r.source, r.node): r.d for r in graphed.graph_distances_whole(spark, d).collect()}
+    assert got == {(s, n): k for s, of in dist.items() for n, k in of.items()} and max(got.values()) > 12
+    h = {r.node: r.harmonic for r in graphed.graph_harmonic_whole(spark, d).collect()}
+    assert h == {s: pytest.approx(sum(1 / k for k in of.values() if k), abs=1e-6) for s, of in dist.items()}
+    largest = [k for of in dist.values() if len(of) == max(map(len, dist.values())) for k in of.values() if k]
+    r = graphed.graph_mean_path_length(spark, d).first()
+    assert r.n_pairs == len(largest) and r.apsl == pytest.approx(sum(largest) / len(largest))
+    n = len(dist)
+    want = {v: sum(count[s][v] * count[v][t] / count[s][t] for s in dist if s != v and v in dist[s] for t in dist[s] if t not in (s, v) and dist[s][v] + dist[v][t] == dist[s][t]) / ((n - 1) * (n - 2)) for v in dist}
+    assert {r.node: r.score for r in graphed.graph_betweenness(spark, d).collect()} == {v: pytest.approx(x) for v, x in want.items()}
+    assert paths.EXACT == 4096 and paths.SOURCES == 512
