@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from engrava.functions.vector import cosine
 from engrava.operators import graphs as gr, hyper as hd
 from engrava.operators.components import connected_components
+from engrava.operators.pairs import hubness
 from engrava.operators.paths import Graph
 from engrava.plans.general import canonical_id
 from engrava.plans.joined import _E, clean_edges
@@ -176,6 +177,13 @@ def graph_hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("vec_id").agg(F.round(F.avg("c"), 6).alias("mean_cos"), F.round(F.max("c"), 6).alias("max_cos"), (F.avg("c") > 0.85).alias("is_hub"))
 
 
+@q("graph_hubness_whole")
+def graph_hubness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each label, over all its rows."""
+    h = hubness(load(spark, sf_dir, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")))
+    return h.select(F.col("g").alias("label"), F.round("mean_cos", 6).alias("mean_cos"), F.round("max_cos", 6).alias("max_cos"), "is_hub", "size")
+
+
 # ---- hypervectors (2,048 bits, to keep the queries light; the width is a parameter)
 D = 2048
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from engrava.functions.instants import parse_instant
 from engrava.functions.vector import cosine
 from engrava.operators import joins
+from engrava.operators.pairs import near_pairs
 from engrava.plans.general import _INSTANT, canonical_id
 from engrava.plans.registry import Queries
 from engrava.tables import load
@@ -106,6 +107,15 @@ def join_similar_opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
 
 
+@q("join_similar_opposites_whole")
+def join_similar_opposites_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different label and a cosine of at least 0.97."""
+    e = load(spark, sf_dir, "embeddings")
+    p = near_pairs(e.select(F.lit(0).alias("g"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")), 0.97)
+    l = e.select(F.col("vec_id").cast("long").alias("id"), "label")  # noqa: E741
+    return p.join(l.toDF("a", "la"), "a").join(l.toDF("b", "lb"), "b").where("la <> lb").select("a", "b", F.round("cos", 6).alias("cos"))
+
+
 @q("join_band", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
 def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one user within an hour after another; the user is the equi-key, the band a filter on it."""

@@ -3,11 +3,12 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engrava.operators import graphs as gr, paths
-from engrava.plans import graphed
+from engrava.operators import graphs as gr, pairs, paths
+from engrava.plans import graphed, joined
 
 
 def union_find(edges):
@@ -121,3 +122,23 @@ def test_paths_reach_all_nodes(spark, winding, monkeypatch):
     want = {v: sum(count[s][v] * count[v][t] / count[s][t] for s in dist if s != v and v in dist[s] for t in dist[s] if t not in (s, v) and dist[s][v] + dist[v][t] == dist[s][t]) / ((n - 1) * (n - 2)) for v in dist}
     assert {r.node: r.score for r in graphed.graph_betweenness(spark, d).collect()} == {v: pytest.approx(x) for v, x in want.items()}
     assert paths.EXACT == 4096 and paths.SOURCES == 512
+
+
+def test_hubness_and_opposites_take_all_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 60)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 8))
+    x[150:190] = x[:40] + 0.05 * rng.standard_normal((40, 8))
+    x[190:199] = x[190] + 0.2 * rng.standard_normal((9, 8))
+    label = [i % 2 for i in range(150)] + [(i + i // 7) % 2 for i in range(40)] + [2] * 9 + [3]
+    spark.createDataFrame([(i, [float(v) for v in x[i]], label[i]) for i in range(200)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    got = {(r.a, r.b) for r in joined.join_similar_opposites_whole(spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i in range(200) for j in range(i + 1, 200) if label[i] != label[j] and c[i, j] >= 0.97} and any(b > 60 for _, b in got)
+    for r in graphed.graph_hubness_whole(spark, str(tmp_path)).collect():
+        of = [i for i in range(200) if label[i] == r.label]
+        s = c[np.ix_(of, of)].copy()
+        np.fill_diagonal(s, 0.0)
+        mean = s.sum() / (len(of) * (len(of) - 1)) if len(of) > 1 else 0.0
+        assert (r.size, r.mean_cos, r.max_cos, r.is_hub) == (len(of), pytest.approx(mean, abs=1e-6), pytest.approx(s.max(), abs=1e-6), mean > 0.85)
