@@ -8,6 +8,7 @@ from engrava.functions import text as tx
 from engrava.functions.vector import cosine
 from engrava.operators import graphs as gr, hyper as hd, ranking as rk
 from engrava.operators.components import connected_components
+from engrava.operators.pairs import near_pairs
 from engrava.plans.graphed import D, _E, graph, labels, vectors
 from engrava.plans.joined import clean_edges
 from engrava.plans.registry import Queries
@@ -39,6 +40,18 @@ def join_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(c >= 0.70).select("a", "b", F.when(c >= 0.92, "skip").otherwise("link").alias("action")).distinct()
 
 
+@q("join_near_links_whole")
+def join_near_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record against all others of its tier: its 8 nearest, if none has a cosine of 0.92, are links from 0.70 on;
+    else the nearest alone is what it duplicates."""
+    r = load(spark, sf_dir, "records").select(F.col("tier").alias("g"), F.col("vec_label").cast("long").alias("id"), F.col("embedding").alias("v"))
+    p = near_pairs(r, 0.70)
+    both = p.select("a", "b", "cos").union(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    near = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cos"), "b"))).where("r <= 8")
+    top = F.max("cos").over(W.partitionBy("a"))
+    return near.withColumn("top", top).where("top < 0.92 OR r = 1").select("a", "b", F.round("cos", 6).alias("cos"), F.when(F.col("top") >= 0.92, "skip").otherwise("link").alias("action"))
+
+
 @q("recall_structural")
 def recall_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engrava.operators import graphs as gr, pairs, paths
-from engrava.plans import graphed, joined
+from engrava.plans import composed, graphed, joined
 
 
 def union_find(edges):
@@ -142,3 +142,20 @@ def test_hubness_and_opposites_take_all_rows(spark, tmp_path, monkeypatch):
         np.fill_diagonal(s, 0.0)
         mean = s.sum() / (len(of) * (len(of) - 1)) if len(of) > 1 else 0.0
         assert (r.size, r.mean_cos, r.max_cos, r.is_hub) == (len(of), pytest.approx(mean, abs=1e-6), pytest.approx(s.max(), abs=1e-6), mean > 0.85)
+
+
+def test_near_links_miss_no_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 50)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((20, 64)), 10, axis=0) + rng.uniform(0.1, 0.8, (200, 1)) * rng.standard_normal((200, 64))
+    tier = ["episodic" if i % 3 else "semantic" for i in range(200)]
+    rows = [(i, tier[i], [float(v) for v in x[i]]) for i in range(200)] + [(200, "episodic", None), (201, "episodic", [0.0] * 64), (202, "episodic", [float("nan")] * 64)]
+    spark.createDataFrame(rows, "vec_label long, tier string, embedding array<double>").write.parquet(f"{tmp_path}/records.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c, want = u @ u.T, {}
+    for i in range(200):
+        hits = sorted((-c[i, j], j) for j in range(200) if j != i and tier[j] == tier[i] and c[i, j] >= 0.70)[:8]
+        skip = bool(hits) and -hits[0][0] >= 0.92
+        want |= {(i, j): "skip" if skip else "link" for _, j in (hits[:1] if skip else hits)}
+    assert {"skip", "link"} == set(want.values())
+    assert {(r.a, r.b): r.action for r in composed.join_near_links_whole(spark, str(tmp_path)).collect()} == want
