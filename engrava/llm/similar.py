@@ -161,7 +161,7 @@ class SimilarVectors:
 
     Codes of 192 bits are the signs of three learned rotations; each is cut into 16 substrings of about
     log2(rows / 48) bits, and each substring is an index. A code within 15 bits of another shares a substring with it
-    (pigeonhole); where substrings grow beyond 14 bits, those one bit away are asked for too, which covers 31 bits.
+    (pigeonhole). Substrings of more than 14 bits would be asked for one bit away too, but 192 bits in 16 give 12 at most.
     Pairs that meet in an index and whose codes differ in at most as many bits as ``least`` allows with four standard
     deviations to spare are reranked by their float vectors. Every row is indexed; recall is measured in the tests.
 
