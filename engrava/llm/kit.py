@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -83,6 +84,48 @@ def pairs_within(bounds: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.
         i0 = i1
 
 
+def pairs_across(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with every index from its lo up to its hi, at most about chunk pairs at a time."""
+    n = np.maximum(hi - lo, 0)
+    i0, total = 0, np.concatenate([[0], np.cumsum(n)])
+    while i0 < len(rows):
+        i1 = max(i0 + 1, int(np.searchsorted(total, total[i0] + chunk, "right")) - 1)
+        left = np.repeat(np.arange(i0, i1), n[i0:i1])
+        if len(left):
+            yield rows[left], lo[left] + np.arange(len(left)) - (total[left] - total[i0])
+        i0 = i1
+
+
+def deal(key: np.ndarray, row: np.ndarray, ids: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, side): index entries, those of hot keys once for each pair of blocks that has theirs, under a key of
+    that pair. Side 0 or 1 tells the two blocks apart; -1 says that all pairs of a key's entries count. hot has the
+    number of blocks of each hot key; an entry's block follows from its id."""
+    side = np.full(len(key), -1, np.int64)
+    if not hot:
+        return key, row, side
+    names = np.array(sorted(hot), np.int64)
+    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+    is_hot = names[at] == key
+    if not is_hot.any():
+        return key, row, side
+    blocks = np.array([hot[int(x)] for x in names])[at[is_hot]]
+    src = np.repeat(np.flatnonzero(is_hot), blocks)
+    other, many = np.arange(len(src)) - np.repeat(np.cumsum(blocks) - blocks, blocks), np.repeat(blocks, blocks)
+    mine = (mix(ids[row[src]], 21) % many.astype(_U)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        pair = mix((key[src].view(_U) + mix(np.minimum(mine, other) * 65536 + np.maximum(mine, other), 22)).view(np.int64), 23).view(np.int64)
+    kept = np.flatnonzero(~is_hot)
+    return np.concatenate([key[kept], pair]), np.concatenate([row[kept], row[src]]), np.concatenate([side[kept], np.where(other == mine, -1, (mine > other).astype(np.int64))])
+
+
+def hot_blocks(probe: DataFrame, part: int, block: int, most: int = 10_000) -> dict[int, int]:
+    """Keys with more than ``block`` entries, and the number of blocks each is dealt to, from the index entries of one
+    id in ``part``. It decides where entries go, never which count. Of the keys, the ``most`` largest are dealt; any
+    other then has at most a ``most``-th of all entries."""
+    large = probe.groupBy("key").count().where(F.col("count") * part > block).orderBy(F.desc("count")).limit(most).collect()
+    return {r.key: -(-r["count"] * part // block) + 1 for r in large}
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 17) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that end where the sorted key column changes, so no group is cut."""
     held: list[pa.RecordBatch] = []

@@ -13,7 +13,7 @@ from engrava.llm.leaks import leaked
 from engrava.llm.near import NearTexts, budget, rings
 from engrava.llm.packing import CAPACITY, Packing, encoder, plan, price, TOKENIZER
 from engrava.llm.pii import Finder, Names, PersonalData, permute, permuted, placeholder, redacted
-from engrava.llm.similar import SimilarVectors
+from engrava.llm.similar import GROUP, LOAD, SimilarVectors, index_plan
 from engrava.llm.spans import SharedSpans
 
 RNG = random.Random(11)
@@ -102,6 +102,42 @@ def test_similar_vectors_recall_and_ties(spark):
     assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.01 * len(want)
 
 
+@pytest.mark.parametrize("rows", [1 << 10, 20_000, 190_000, 50_000_000, 1 << 28, 1 << 34])
+def test_index_plan_keeps_buckets_small_at_any_size(rows):
+    flip = np.arccos(0.9) / np.pi
+    p = index_plan(rows, flip)
+    assert rows / 2**p.length <= LOAD and rows / 2**p.prefix <= GROUP and p.meets(flip) >= 0.99
+    before = index_plan(rows // 16, flip)
+    assert p.tables <= before.tables * 16**0.45  # the index itself grows by well under the square
+
+
+def test_similar_vectors_recall_by_cosine(spark):
+    rng, n = np.random.default_rng(8), 3000
+    base = rng.standard_normal((n, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((n, 64))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = np.linspace(0.9005, 0.98, n)[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, v array<float>")
+    got = {tuple(r) for r in SimilarVectors(table, "id", "v", k=5, least=0.9).pairs().collect()}
+    found = np.array([(i, i + n) in got for i in range(n)])
+    band = cos[:, 0] < 0.92
+    assert found[band].mean() >= 0.97 and found[~band].mean() >= 0.99
+
+
+def test_dealt_keys_lose_no_pair(spark, monkeypatch):
+    import engrava.llm.similar as similar
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(64) + rng.standard_normal((700, 64)) * 0.2  # nearly all meet everywhere
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, v array<float>")
+    whole = {tuple(r) for r in SimilarVectors(table, "id", "v").pairs().collect()}
+    monkeypatch.setattr(similar, "PROBE", 1)
+    assert {tuple(r) for r in SimilarVectors(table, "id", "v", block=60).pairs().collect()} == whole
+
+
 def test_many_equal_vectors_are_not_all_pairs(spark):
     v = np.random.default_rng(1).standard_normal(64).astype(np.float32).tolist()
     table = spark.createDataFrame([(i, v) for i in range(400)], "id long, v array<float>")
