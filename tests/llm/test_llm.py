@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engrava.llm.clusters import MinHashClusters
+from engrava.llm.clusters import LINK, MinHashClusters, _band_tokens, _planes, band_rows
 from engrava.llm.conversations import Conversations
 from engrava.llm.leaks import leaked
 from engrava.llm.near import NearTexts, budget, rings
@@ -15,6 +15,7 @@ from engrava.llm.packing import CAPACITY, Packing, encoder, plan, price, TOKENIZ
 from engrava.llm.pii import Finder, Names, PersonalData, permute, permuted, placeholder, redacted
 from engrava.llm.similar import GROUP, LOAD, SimilarVectors, index_plan
 from engrava.llm.spans import SharedSpans
+from engrava.operators.components import connected_components
 
 RNG = random.Random(11)
 VOCABULARY = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(3, 9))) for _ in range(300)]
@@ -167,6 +168,41 @@ def test_clusters_find_planted_directions(spark):
     assert sum(r.n_members for r in d.values()) == 1500 and all(len(r.typical) == 3 for r in d.values())
 
 
+@pytest.mark.parametrize("block", [4000, 40])
+def test_cluster_links_are_all_pairs_of_a_bucket_that_are_similar(spark, monkeypatch, block):
+    import engrava.llm.clusters as clusters
+
+    monkeypatch.setattr(clusters, "PROBE", 1)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((5, 64))[rng.integers(0, 5, 600)] + rng.standard_normal((600, 64)) * 0.45
+    x = x.astype(np.float32).astype(float)
+    bits = x / np.linalg.norm(x, axis=1, keepdims=True) @ _planes(64, 17) >= 0
+    keys = _band_tokens(bits, 18, band_rows(600))
+    meet = (keys[:, None, :] == keys[None, :, :]).any(axis=2)
+    shared = (bits[:, None, :] == bits[None, :, :]).sum(axis=2)
+    a, b = np.nonzero(np.triu(meet & (shared / (512 - shared) >= LINK), 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {tuple(r) for r in MinHashClusters(table, "id", "v", 5, block=block).links().collect()}
+    assert got == set(zip(a.tolist(), b.tolist())) and len(got) > 5_000
+
+
+def test_loose_components_are_split_around_medoids(spark):
+    """A bridge of vectors turned step by step from one direction to another joins two clusters to one component."""
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    turn = np.linspace(0, np.radians(150), 25)[:, None]
+    bridge = np.cos(turn) * axes[0] + np.sin(turn) * axes[1]
+    ends = np.concatenate([bridge[i] + rng.standard_normal((150, 64)) * 0.05 for i in (0, -1)])
+    x = np.concatenate([ends, bridge])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, v array<float>")
+    c = MinHashClusters(table, "id", "v", 2)
+    assert len({r.component for r in connected_components(c.links(), "a", "b").collect()}) == 1
+    group = {r.id: r.grp for r in c.groups().collect()}
+    assert len({group[i] for i in range(150)} & {group[i] for i in range(150, 300)}) == 0
+    assert len(MinHashClusters(table, "id", "v", 2).directions()) == 2
+    assert len(MinHashClusters(table, "id", "v", 9).directions()) == 2  # no more than there are
+
+
 def test_clusters_of_an_empty_table(spark):
     c = MinHashClusters(spark.createDataFrame([], "id long, v array<float>"), "id", "v", 3)
     assert c.assigned().count() == 0
