@@ -30,15 +30,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches):
-    """Each partition's edges as a forest of stars: at most one edge a node, whatever came in."""
+    """Each partition's edges as a forest of stars: at most one edge a node, whatever came in; a loop only of a node that
+    has no other edge here."""
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
         if len(a) > 1 << 20:
-            a, b = forest(a, b)
+            a, b = forest(a, b)  # roots come as loops
     if len(a):
         n, r = forest(a, b)
-        keep = n != r
+        keep = (n != r) | ~np.isin(n, r[n != r])
         yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(r[keep])], names=["u", "v"])
 
 
@@ -54,10 +55,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     until nothing changes, each round written to the shared folder. Hubs are joined by ``lookup_join``; minima are
     taken with map-side partial aggregation. No edges: no rows.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    now = materialize(e.mapInArrow(_contract, "u long, v long"), "cc")
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
+    first = materialize(e.mapInArrow(_contract, "u long, v long"), "cc")  # the edges are read this once
+    loops, now = first.where("u = v").select(F.col("u").alias("node")).distinct(), first.where("u <> v")
     state = _state(now)
-    loops = edges.select(F.col(a).cast("long").alias("node")).where(F.col(a) == F.col(b)).distinct()
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -66,9 +67,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lookup_join(large, least, ["u"], "inner")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = materialize(small.mapInArrow(_contract, "u long, v long"), "cc")
+        new = materialize(small.mapInArrow(_contract, "u long, v long").where("u <> v"), "cc")
         discard(large)
-        discard(now)
+        if now is not first:  # its loops are still needed
+            discard(now)
         now, before, state = new, state, _state(new)
         if state == before:
             break

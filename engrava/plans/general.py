@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engrava.functions.instants import parse_instant
 from engrava.operators.deliveries import DeliveryLog
-from engrava.operators.references import latest, orphans, reference_states
+from engrava.operators.references import dated_orphans, latest, orphans
+from engrava.storage import materialize
 from engrava.tables import load, table_path
 
 
@@ -16,7 +17,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DeliveryLog:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliveries(spark, sf_dir).redundant().select(F.col("ord").alias("row_id"))
+    return deliveries(spark, sf_dir).removed(["row_id"])
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,20 +29,24 @@ def canonical_id(c):
     return F.lower(F.trim(F.regexp_replace(F.trim(c), r"[{}]", "")))
 
 
-def edge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The latest state of each edge, and of these the ones whose reference does not hold, with the reason."""
     edges = load(spark, sf_dir, "edges").select("src", canonical_id(F.col("dst")).alias("dst"), "edge_type", parse_instant(F.col("updated_at")).alias("updated"))
     records = load(spark, sf_dir, "records").select("id", parse_instant(F.col("tombstoned_at")).alias("gone"), parse_instant(F.col("created_at")).alias("made"))
-    return reference_states(latest(edges, ["src", "dst", "edge_type"], "updated"), records, "dst", "updated", "id", "gone", "made")
+    now = materialize(latest(edges, ["src", "dst", "edge_type"], "updated"), "edges")
+    return now, dated_orphans(now, records, "dst", "updated", "id", "gone", "made")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_states(spark, sf_dir).where("reason is not null").select("src", "dst", "edge_type", "reason")
+    return edge_references(spark, sf_dir)[1].select("src", "dst", "edge_type", "reason")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = edge_states(spark, sf_dir).withColumn("month", F.coalesce(F.date_format("updated", "yyyy-MM"), F.lit("unknown")))
+    now, absent = edge_references(spark, sf_dir)
+    rows = now.select("edge_type", "updated", F.lit(1).alias("edge"), F.lit(None).cast("string").alias("reason")).union(absent.select("edge_type", "updated", F.lit(0), "reason"))
     n = lambda r: F.count_if(F.col("reason") == r).alias(f"n_{r}")
-    return s.groupBy("edge_type", "month").agg(F.count("*").alias("n_edges"), n("missing"), n("deleted"), n("late"))
+    month = F.coalesce(F.date_format("updated", "yyyy-MM"), F.lit("unknown")).alias("month")
+    return rows.groupBy("edge_type", month).agg(F.count_if(F.col("edge") == 1).alias("n_edges"), n("missing"), n("deleted"), n("late"))
 
 
 def p7_composite(spark: SparkSession, sf_dir: str) -> DataFrame:

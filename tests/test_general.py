@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 from engrava.functions.instants import parse_instant
 from engrava.operators.components import connected_components
 from engrava.operators.deliveries import DeliveryLog
-from engrava.operators.references import orphans, reference_states
+from engrava.operators.references import dated_orphans, orphans
 from engrava.operators.skew import lookup_join
 
 ROWS = "row_id long, s string, ids array<string>, text string, file string, pos long"
@@ -34,13 +34,28 @@ def test_deliveries_keep_one_copy_with_clashing_columns_nulls_and_a_hot_message(
     kept = log.kept()
     assert kept.columns == ["row_id", "s", "ids", "text", "file", "pos"]
     assert sorted(r[0] for r in kept.collect()) == sorted({r[0] for r in rows} - set(gone))
+    assert sorted(r[0] for r in log.removed(["row_id"]).collect()) == gone
 
 
 def test_deliveries_with_tied_or_null_order_and_empty_table(spark, tmp_path):
     log = log_of(spark, tmp_path, [(1, "a", ["m"], "", "", 0), (1, "a", ["m"], "", "", 0), (None, "a", ["m"], None, None, None)], 2)
     assert log.redundant().count() == 2 and log.kept().count() == 1
     empty = log_of(spark, tmp_path / "e", [])
-    assert empty.redundant().count() == 0 and empty.kept().count() == 0
+    assert empty.redundant().count() == 0 and empty.kept().count() == 0 and empty.removed().count() == 0
+
+
+def test_a_file_is_read_by_row_group(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    p = str(tmp_path / "one.parquet")
+    n = 150_000  # more than two segments, row groups that end elsewhere
+    pq.write_table(pa.table({"row_id": pa.array(range(n), pa.int64()), "s": ["a"] * n, "ids": [[str(i % 70_000)] for i in range(n)]}), p, row_group_size=40_000)
+    log = DeliveryLog(spark, p, "s", F.get("ids", F.lit(0)), "row_id")
+    kept = log.kept(["row_id"])
+    assert kept.rdd.getNumPartitions() == 4
+    assert sorted(r[0] for r in kept.collect()) == list(range(70_000))
+    assert sorted(r[0] for r in log.removed(["row_id"]).collect()) == list(range(70_000, n))
 
 
 @pytest.mark.parametrize("match", ["simple", "full", "partial"])
@@ -61,15 +76,16 @@ def test_orphans_by_null_mask(spark, match):
     assert orphans(c.limit(0), p, ["a", "b"], ["a", "b"], match).count() == 0
 
 
-def test_reference_states(spark):
+def test_dated_orphans(spark):
     t = lambda s: None if s is None else s
     child = [(1, "r1", "2025-01-02"), (2, "r2", "2025-01-02"), (3, "r3", "2025-01-02"), (4, "gone", "2025-01-02"), (5, None, "2025-01-02"), (6, "r2", None), (7, "zz", None), (8, "r2", "2025-01-01")]
     parent = [("r1", None, "2025-01-01", 5), ("r2", "2025-01-02", "2024-01-01", 5), ("r3", None, "2025-01-03", 5), (None, None, None, None)]
     c = spark.createDataFrame([(i, k, t(a)) for i, k, a in child], "i int, dst string, at string").withColumn("at", parse_instant(F.col("at")))
     p = spark.createDataFrame(parent, "id string, g string, m string, i int").withColumns({"g": parse_instant(F.col("g")), "m": parse_instant(F.col("m"))})
-    got = {r.i: r.reason for r in reference_states(c, p, "dst", "at", "id", "g", "m", hot_rows=2).collect()}
-    assert got == {1: None, 2: "deleted", 3: "late", 4: "missing", 5: None, 6: None, 7: "missing", 8: None}
-    assert {r.reason for r in reference_states(c, p.limit(0), "dst", "at", "id", "g", "m").where("dst is not null").collect()} == {"missing"}
+    for hot_rows in (2, 50_000):
+        got = {r.i: r.reason for r in dated_orphans(c, p, "dst", "at", "id", "g", "m", hot_rows=hot_rows).collect()}
+        assert got == {2: "deleted", 3: "late", 4: "missing", 7: "missing"}
+    assert {r.i: r.reason for r in dated_orphans(c, p.limit(0), "dst", "at", "id", "g", "m").collect()} == {i: "missing" for i in (1, 2, 3, 4, 6, 7, 8)}
 
 
 def test_parse_instant(spark):
