@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_records(spark, sf_dir).groups().toDF("vec_label", "group_id")
+    return near_records(spark, sf_dir).groups().toDF("vec_label", "group_id", "n_links")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engrava.llm.clusters import LINK, MinHashClusters, _band_tokens, _planes, band_rows
 from engrava.llm.conversations import Conversations
 from engrava.llm.leaks import leaked
-from engrava.llm.near import NearTexts, budget, rings
+from engrava.llm.near import NearTexts, _chains, _segments, budget, rings
 from engrava.llm.packing import CAPACITY, Packing, encoder, plan, price, TOKENIZER
 from engrava.llm.pii import Finder, Names, PersonalData, permute, permuted, placeholder, redacted
 from engrava.llm.similar import GROUP, LOAD, SimilarVectors, index_plan
@@ -67,6 +67,40 @@ def test_near_texts_equal_brute_force(spark, share, least):
     assert {tuple(r) for r in NearTexts(table, "id", "text", share, least, block=8).pairs().collect()} == got  # keys dealt to blocks
 
 
+@pytest.mark.parametrize("key_rows", [1, 30])
+def test_near_texts_with_longer_chains(spark, monkeypatch, key_rows):
+    """Keys of up to three segments: few words, all of them common, so that many segments are empty or say little."""
+    import engrava.llm.near as near
+
+    monkeypatch.setattr(near, "KEY_ROWS", key_rows)
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 400, 2):
+        w = rng.sample(VOCABULARY[:60], rng.randint(14, 30))
+        v = [x for x in w if rng.random() > 0.09] + rng.sample(VOCABULARY[:60], rng.randint(0, 3))
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    table = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    assert {tuple(r) for r in NearTexts(table, "id", "text", 0.7, 10).pairs().collect()} == near_truth(rows, 0.7, 10)
+
+
+def test_near_groups_count_links(spark):
+    a, b, c = "a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h k l"  # b is linked to a and c, these not
+    rows = [(1, a), (2, b), (3, c), (4, b + "."), (5, b.upper()), (6, "x y z u v w q r s t"), (7, "m n o")]
+    got = {tuple(r) for r in NearTexts(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.8, 5).groups().collect()}
+    assert got == {(1, 1, 3), (2, 1, 4), (3, 1, 3), (4, 1, 4), (5, 1, 4)}
+
+
+def test_chain_masks_lie_within_their_chains():
+    for m in (1, 5, 63, 64, 65, 100, 333):
+        masks, lengths = _chains(m)
+        place = np.arange(0, 1 << 32, (1 << 32) // 9973)
+        segment, arc = _segments(place, m), place >> 26
+        for start in {0, 1 % m, m // 2, m - 1}:
+            for mask, length in zip(masks[start], lengths[start]):
+                inside = (np.uint64(mask) >> arc.astype(np.uint64)) & np.uint64(1) == 1
+                assert 1 <= length <= m and ((segment[inside] - start) % m < length).all()
+
+
 def test_near_texts_of_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, text string")
     assert NearTexts(empty, "id", "text").pairs().count() == 0
