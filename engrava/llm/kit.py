@@ -69,7 +69,11 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def pairs_within(bounds: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+#: Pairs looked at together: so many that their arrays stay in a core's cache.
+CHUNK = 1 << 16
+
+
+def pairs_within(bounds: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs i < j inside the runs given by their boundaries, at most about chunk pairs at a time."""
     size = np.diff(bounds)
     after = np.repeat(bounds[1:], size) - np.arange(bounds[0], bounds[-1]) - 1  # partners that follow each row
@@ -84,7 +88,7 @@ def pairs_within(bounds: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.
         i0 = i1
 
 
-def pairs_across(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_across(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each row with every index from its lo up to its hi, at most about chunk pairs at a time."""
     n = np.maximum(hi - lo, 0)
     i0, total = 0, np.concatenate([[0], np.cumsum(n)])
@@ -126,6 +130,30 @@ def hot_blocks(probe: DataFrame, part: int, block: int, most: int = 10_000) -> d
     return {r.key: -(-r["count"] * part // block) + 1 for r in large}
 
 
+def collected(parts: Iterator[np.ndarray], rows: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Arrays of different pairs, each of about ``rows`` pairs at most, of many small arrays with repeats."""
+    held: list[np.ndarray] = []
+    have = 0
+    for p in parts:
+        if not len(p):
+            continue
+        held.append(p)
+        have += len(p)
+        if have > rows:
+            held = [np.unique(np.concatenate(held), axis=0)]
+            have = len(held[0])
+            if have > rows // 2:
+                yield held[0]
+                held, have = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def spread(df: DataFrame, rows: int, each: int = 400_000) -> DataFrame:
+    """df by its key, on as many partitions as the session wants, or more so that a task gets about ``each`` rows."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)), "key")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 17) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that end where the sorted key column changes, so no group is cut."""
     held: list[pa.RecordBatch] = []

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engrava.llm.kit import batch_of, deal, hot_blocks, mix, pairs_across, pairs_within, runs, vectors, whole_groups
+from engrava.llm.kit import batch_of, collected, deal, hot_blocks, mix, pairs_across, pairs_within, runs, spread, vectors, whole_groups
 from engrava.operators.skew import lookup_join
 from engrava.storage import materialize
 
@@ -167,17 +167,18 @@ def _near_codes(batches, most: int, quick: int, masks: list[int]):
             rows = np.flatnonzero(tail & (1 << (m.bit_length() - 1)) == 0)
             to = at[rows] ^ m
             ways.append(pairs_across(rows, np.searchsorted(at, to, "left"), np.searchsorted(at, to, "right")))
-        seen: list[np.ndarray] = []
-        for i, j in chain.from_iterable(ways):
-            d = _POP(code[0][i] ^ code[0][j]).astype(np.int16)
-            ok = np.flatnonzero(d <= quick)  # the cheapest test first: nearly all pairs end here
-            i, j, d = i[ok], j[ok], d[ok]
-            for c in code[1:]:
-                d += _POP(c[i] ^ c[j])
-            ok = (d <= most) & (ident[i] != ident[j]) & ((side[i] < 0) | (side[i] != side[j]))
-            seen.append(np.stack([np.minimum(ident[i], ident[j])[ok], np.maximum(ident[i], ident[j])[ok]], axis=1))
-        p = np.unique(np.concatenate(seen), axis=0) if seen else np.empty((0, 2), np.int64)
-        if len(p):
+
+        def close():
+            for i, j in chain.from_iterable(ways):
+                d = _POP(code[0][i] ^ code[0][j])
+                ok = np.flatnonzero(d <= quick)  # the cheapest test first: nearly all pairs end here
+                i, j, d = i[ok], j[ok], d[ok].astype(np.int16)
+                for c in code[1:]:
+                    d += _POP(c[i] ^ c[j])
+                ok = (d <= most) & (ident[i] != ident[j]) & ((side[i] < 0) | (side[i] != side[j]))
+                yield np.stack([np.minimum(ident[i], ident[j])[ok], np.maximum(ident[i], ident[j])[ok]], axis=1)
+
+        for p in collected(close()):
             yield batch_of(a=p[:, 0], b=p[:, 1])
 
 
@@ -238,7 +239,7 @@ class SimilarVectors:
         hot = hot_blocks(probe, PROBE, self.block or max(BLOCK, 4 * n >> plan.prefix))
         index = nodes.select("id", "u").mapInArrow(lambda it: _index(it, width, mean, to, plan, hot), schema)
         masks = _masks(plan.suffix, plan.radius)
-        pairs = index.repartition("key").sortWithinPartitions("key", "tail").mapInArrow(lambda it: _near_codes(it, most, quick, masks), "a long, b long").distinct()
+        pairs = spread(index, n * plan.tables).sortWithinPartitions("key", "tail").mapInArrow(lambda it: _near_codes(it, most, quick, masks), "a long, b long").distinct()
         u = nodes.select("id", "u")
         near = pairs.join(u.toDF("a", "ua"), "a").join(u.toDF("b", "ub"), "b").select("a", "ua", "b", "ub").mapInArrow(lambda it: _cosines(it, width, least), "a long, b long, cos double")
         both = near.union(near.select("b", "a", "cos")).toDF("id", "other", "cos")
