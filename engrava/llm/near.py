@@ -10,19 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engrava.llm.kit import batch_of, deal, hot_blocks, mix, pairs_within, runs, whole_groups, words
+from engrava.llm.kit import batch_of, collected, deal, hot_blocks, mix, pairs_within, runs, spread, whole_groups, words
 from engrava.operators.components import connected_components
 from engrava.operators.skew import lookup_join
 from engrava.storage import materialize
 
 #: Rows that an index key should have at most, on average. A chain of segments becomes a key once its words carry enough
 #: bits for that; CHAIN segments always do.
-KEY_ROWS, CHAIN = 1_000, 3
+KEY_ROWS, CHAIN = 4_000, 3
 #: Words in more than one of 2**TOP_BITS texts are counted (at most 2**TOP_BITS times the words of a mean text); others
 #: are taken to carry TOP_BITS bits. Bits are whole numbers of 1/16, so that sums are the same in any order.
 TOP_BITS, UNIT = 10, 16
 #: Rows of one index key from which they are dealt to pairs of blocks; one node in PROBE is looked at to find such keys.
-BLOCK, PROBE = 4_000, 32
+BLOCK, PROBE = 1 << 14, 32
 _POP = np.bitwise_count
 _U = np.uint64
 
@@ -197,30 +197,30 @@ def _candidates(batches, least: int, largest: int, share: float):
         key, ident, sketch, tag, side = (table.column(c).to_numpy() for c in range(5))
         sketch, n, ring, start, level, gone = sketch.view(_U), tag >> 40, tag >> 32 & 255, tag >> 8 & 0xFFFFFF, tag >> 4 & 15, tag & 15
         bound = np.minimum(widest[ring], 64).astype(np.uint8)
-        seen = np.empty((0, 2), np.int64)
-        for i, j in pairs_within(runs(key)):
-            ok = np.flatnonzero(_POP(sketch[i] ^ sketch[j]) <= bound[i])  # the cheapest test first: most pairs end here
-            i, j = i[ok], j[ok]
-            a, b = n[i], n[j]
-            ok = (np.minimum(a, b) >= share * np.maximum(a, b) - 1e-9) & (ident[i] != ident[j]) & ((tag[i] ^ tag[j]) >> 4 & 0xFFFFFFFFF == 0) & (gone[i] + gone[j] < level[i]) & ((side[i] < 0) | (side[i] != side[j]))
-            i, j, most = i[ok], j[ok], budget((a + b)[ok], share)
-            apart = sketch[i] ^ sketch[j]
-            ok = _POP(apart) <= most  # no more bits than words can differ
-            i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
-            keep = np.ones(len(i), bool)
-            for r in np.unique(ring[i]):  # the chain that the key began keeps to its budgets
-                x, m = np.flatnonzero(ring[i] == r), int(widest[r]) + 1
-                masks, lengths = _chains(m)
-                for step in range(masks.shape[1]):
-                    s = start[i[x]]
-                    x = x[_POP(apart[x] & masks[s, step]) <= lengths[s, step] * most[x] // m]
-                keep[ring[i] == r] = False
-                keep[x] = True
-            p = np.stack([np.minimum(ident[i], ident[j])[keep], np.maximum(ident[i], ident[j])[keep]], axis=1)
-            if len(p):
-                seen = np.unique(np.concatenate([seen, p]), axis=0)
-        if len(seen):
-            yield batch_of(a=seen[:, 0], b=seen[:, 1])
+
+        def close():
+            for i, j in pairs_within(runs(key)):
+                ok = np.flatnonzero(_POP(sketch[i] ^ sketch[j]) <= bound[i])  # the cheapest test first: most pairs end here
+                i, j = i[ok], j[ok]
+                a, b = n[i], n[j]
+                ok = (np.minimum(a, b) >= share * np.maximum(a, b) - 1e-9) & (ident[i] != ident[j]) & ((tag[i] ^ tag[j]) >> 4 & 0xFFFFFFFFF == 0) & (gone[i] + gone[j] < level[i]) & ((side[i] < 0) | (side[i] != side[j]))
+                i, j, most = i[ok], j[ok], budget((a + b)[ok], share)
+                apart = sketch[i] ^ sketch[j]
+                ok = _POP(apart) <= most  # no more bits than words can differ
+                i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
+                keep = np.ones(len(i), bool)
+                for r in np.unique(ring[i]):  # the chain that the key began keeps to its budgets
+                    x, m = np.flatnonzero(ring[i] == r), int(widest[r]) + 1
+                    masks, lengths = _chains(m)
+                    for step in range(masks.shape[1]):
+                        s = start[i[x]]
+                        x = x[_POP(apart[x] & masks[s, step]) <= lengths[s, step] * most[x] // m]
+                    keep[ring[i] == r] = False
+                    keep[x] = True
+                yield np.stack([np.minimum(ident[i], ident[j])[keep], np.maximum(ident[i], ident[j])[keep]], axis=1)
+
+        for p in collected(close()):
+            yield batch_of(a=p[:, 0], b=p[:, 1])
 
 
 class NearTexts:
@@ -258,7 +258,7 @@ class NearTexts:
         probe = nodes.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).mapInArrow(lambda it: _index_rows(it, least, largest, share, common, need, {}), schema)
         hot = hot_blocks(probe, PROBE, block)
         index = nodes.mapInArrow(lambda it: _index_rows(it, least, largest, share, common, need, hot), schema)
-        pairs = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _candidates(it, least, largest, share), "a long, b long").distinct()
+        pairs = spread(index, probe.count() * PROBE).sortWithinPartitions("key").mapInArrow(lambda it: _candidates(it, least, largest, share), "a long, b long").distinct()
         t = self.sets.select("id", "tokens")
         both = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
