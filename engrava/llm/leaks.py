@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from engrava.llm.kit import WORD, words
 
 WINDOW = 13
-#: Windows that one automaton holds (about 100 MB of it); more passages mean more automata and a scan for each.
-MAX_PATTERNS = 200_000
+#: Windows that one automaton holds (about 100 MB of it), and automata that one scan of the documents holds; more passages
+#: mean more scans.
+MAX_PATTERNS, TOGETHER = 200_000, 4
 
 _built: dict = {}
 
@@ -40,7 +41,8 @@ def _automaton(tag: str, block: dict):
         for pattern, keys in block.items():
             a.add_word(pattern, (pattern.count(" ") - 1, tuple(sorted(keys))))
         a.make_automaton()
-        _built.clear()
+        while len(_built) >= TOGETHER:
+            del _built[next(iter(_built))]
         _built[tag] = a
     return _built[tag]
 
@@ -59,20 +61,20 @@ def word_offsets(text: str) -> tuple[list[int], list[int]]:
     return [at[s] for s, _ in spans], [at[e - 1] + 1 for _, e in spans]
 
 
-def _scan(batches, tag, block, spans: bool):
-    a = _automaton(tag, block.value)
+def _scan(batches, blocks: list[tuple], spans: bool):
+    automata = [_automaton(tag, block.value) for tag, block in blocks]
     for b in batches:
         ids, out = b.column(0), ([], [], [], [])
         for row, text in enumerate(b.column(1).to_pylist()):
             if not text:
                 continue
             found: dict = {}
-            norm = None
             w = WORD.findall(text.lower())
             norm = f" {' '.join(w)} "
-            for end, (n, keys) in a.iter(norm):
-                for k in keys:
-                    found.setdefault(k, []).append((end, n))
+            for a in automata:
+                for end, (n, keys) in a.iter(norm):
+                    for k in keys:
+                        found.setdefault(k, []).append((end, n))
             if not found:
                 continue
             if not spans:
@@ -107,15 +109,15 @@ def leaked(documents: DataFrame, doc: str, text: str, passages: DataFrame, key:
     Case, punctuation and spacing don't count, an underscore separates words. ``start_at`` and ``end_at`` are
     positions in the document as given; overlapping windows of one passage are one span. Null and blank texts match
     nothing, nor do passages shorter than the window; repeated documents each report; repeated keys are one key.
-    Nothing is shuffled: the passages are the stated query set, sent in blocks of bounded size.
+    Nothing is shuffled: the passages are the stated query set, sent in blocks of bounded size, several of which
+    are looked for in one scan.
     """
     spark = documents.sparkSession
     kind = {k: t for k, t in passages.dtypes}[key]
     schema = f"doc {dict(documents.dtypes)[doc]}, key {kind}" + ", start_at int, end_at int" * spans
-    parts = []
-    for block in passage_blocks(passages, key, passage, window, most):
-        sent, tag = spark.sparkContext.broadcast(block), uuid4().hex
-        parts.append(documents.select(doc, text).mapInArrow(lambda it, tag=tag, sent=sent: _scan(it, tag, sent, spans), schema))
+    blocks = [(uuid4().hex, spark.sparkContext.broadcast(block)) for block in passage_blocks(passages, key, passage, window, most)]
+    scan = lambda some: documents.select(doc, text).mapInArrow(lambda it: _scan(it, some, spans), schema)
+    parts = [scan(blocks[i : i + TOGETHER]) for i in range(0, len(blocks), TOGETHER)]
     if not parts:
         return spark.createDataFrame([], schema)
     out = reduce(DataFrame.union, parts)

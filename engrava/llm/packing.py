@@ -17,10 +17,11 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of the byte-level BPE vocabularies (the usual published pattern).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Rounds of the multiplicative weights, and their rate.
-ROUNDS, RATE = 600, 4.0
-#: Ranks of equal lengths are counted in so many independent parts.
-SALTS = 64
+#: Rounds of the multiplicative weights, their rate, the share of a length's items that a configuration covers in a round,
+#: and how much less than the best a configuration may be worth to be used.
+ROUNDS, RATE, STEP, SLACK = 200, 0.5, 0.1, 0.02
+#: Ranks of equal lengths are counted in independent parts: so many, or more so that a part has about RANKED items.
+SALTS, RANKED = 64, 500_000
 
 _encoders: dict = {}
 
@@ -41,8 +42,9 @@ def _sizes(batches, path: str):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["id", "n"])
 
 
-def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest value: an unbounded knapsack over the sizes, by dynamic programming."""
+def price(value: np.ndarray, sizes: np.ndarray, capacity: int, slack: float = 0.0) -> list[dict[int, int]]:
+    """Configurations of greatest value, and those worth up to ``slack`` of it less: an unbounded knapsack over the
+    sizes, by dynamic programming. One pass gives the best configuration around each size, the best of all first."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     order = np.argsort(sizes)
     s, v = sizes[order], value[order]
@@ -54,37 +56,49 @@ def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]
             i = int(total.argmax())
             if total[i] > best[c]:
                 best[c], choice[c] = total[i], i
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        size = int(s[choice[c]])
-        out[size] = out.get(size, 0) + 1
-        c -= size
-    return out
-
-
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
+    last, names = choice.tolist(), s.tolist()
+    for c in range(1, capacity + 1):  # where the best of c tokens leaves some free, it is that of fewer
+        if last[c] < 0:
+            names_at = last[c - 1]
+            last[c] = names_at if names_at < -1 else -(c - 1) - 2 if names_at >= 0 else -1
+    around = v + best[capacity - s]
+    out: dict[tuple, dict[int, int]] = {}
+    for i in np.argsort(-around, kind="stable"):
+        if around[i] < best[capacity] * (1 - slack) - 1e-12:
+            break
+        config, c = {names[i]: 1}, capacity - names[i]
+        while c > 0 and last[c] != -1:
+            if last[c] < -1:
+                c = -last[c] - 2
+                continue
+            size = names[last[c]]
+            config[size] = config.get(size, 0) + 1
+            c -= size
+        out.setdefault(tuple(sorted(config.items())), config)
+    return list(out.values())
+
+
+def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """A fractional cover of the histogram by configurations, and how often each is used.
 
     Every length has a weight that falls as its items get covered; each round prices the configurations by these
-    weights (the knapsack), uses the best as far as its scarcest length reaches, and updates the weights. The result
-    is scaled to the tokens there are.
+    weights (the knapsack), uses those that are worth nearly as much as the best, each for a small share of its scarcest
+    length, and updates the weights. The result is scaled to the tokens there are.
     """
+    if rounds < 1:
+        return []
     sizes = np.array(sorted(histogram))
     need = np.array([histogram[int(s)] for s in sizes], float)
     covered, used = np.zeros(len(sizes)), {}
     at = {int(s): i for i, s in enumerate(sizes)}
     for _ in range(rounds):
         level = covered / need
-        config = price(np.exp(-rate * (level - level.min())) / need * sizes * need / capacity, sizes, capacity)
-        step = min(need[at[s]] / k for s, k in config.items()) / 2
-        for s, k in config.items():
-            covered[at[s]] += step * k
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + step
+        for config in price(np.exp(-RATE * (level - level.min())) * sizes / capacity, sizes, capacity, SLACK):
+            step = STEP * min(need[at[s]] / k for s, k in config.items())
+            for s, k in config.items():
+                covered[at[s]] += step * k
+            key = tuple(sorted(config.items()))
+            used[key] = used.get(key, 0.0) + step
     scale = float(sizes @ need) / float(sizes @ covered)
     return [(dict(k), x * scale) for k, x in used.items()]
 
@@ -136,9 +150,9 @@ class Packing:
         sizes = table.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _sizes(it, tokenizer), f"id {kind}, n int")
         parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))
         items = sizes.select("id", "n", F.explode(parts).alias("part")).select("id", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).alias("n"))
-        items = items.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(SALTS)).cast("int"))
         self.items = materialize(items, "items")
         self.histogram = {r.n: r["count"] for r in self.items.where("n > 0").groupBy("n").count().collect()}
+        self.salts = max(SALTS, -(-max(self.histogram.values(), default=0) // RANKED))
         self.plan = plan(self.histogram, capacity, rounds)
 
     def placed(self) -> DataFrame:
@@ -158,11 +172,13 @@ class Packing:
             for b in batches:
                 n, r = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
                 i = np.maximum(np.searchsorted(starts, n * base + r, "right") - 1, 0)
-                c = np.where(n > 0, first[i] + (r - rank[i]) // each[i], 0) if len(starts) else np.zeros(len(n), np.int64)
+                c = first[i] + (r - rank[i]) // each[i] if len(n) else n
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(c)], names=["id", "part", "start", "n", "container"])
 
-        counts = self.items.groupBy("n", "salt").agg(F.count("*").alias("c"))
-        offsets = counts.select("n", "salt", (F.sum("c").over(W.partitionBy("n").orderBy("salt")) - F.col("c")).alias("before"))  # at most capacity * SALTS rows
-        ranked = self.items.withColumn("r", F.row_number().over(W.partitionBy("n", "salt").orderBy("id", "part", "start")) - 1).join(F.broadcast(offsets), ["n", "salt"])
+        items = self.items.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(self.salts)).cast("int"))
+        counts = items.groupBy("n", "salt").agg(F.count("*").alias("c"))
+        offsets = counts.select("n", "salt", (F.sum("c").over(W.partitionBy("n").orderBy("salt")) - F.col("c")).alias("before"))  # at most capacity * salts rows
+        ranked = items.withColumn("r", F.row_number().over(W.partitionBy("n", "salt").orderBy("id", "part", "start")) - 1).join(F.broadcast(offsets), ["n", "salt"])
         kind = dict(self.items.dtypes)["id"]
-        return ranked.select("id", "part", "start", "n", (F.col("r") + F.col("before")).alias("r")).mapInArrow(containers, f"id {kind}, part int, start int, n int, container long")
+        some = ranked.select("id", "part", "start", "n", (F.col("r") + F.col("before")).alias("r")).mapInArrow(containers, f"id {kind}, part int, start int, n int, container long")
+        return some.union(self.items.where("n = 0").select("id", "part", "start", "n", F.lit(0).cast("long")))  # not ranked: they may be many

@@ -35,6 +35,10 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(load(spark, sf_dir, "documents"), "doc_id", "text").shared_parts().toDF("doc_id", "n_chars", "n_shared", "share", "copies")
 
 
+def p10_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(load(spark, sf_dir, "documents"), "doc_id", "text").classes().toDF("doc_id", "class_id", "copies")
+
+
 def near_records(spark: SparkSession, sf_dir: str) -> NearTexts:
     return NearTexts(load(spark, sf_dir, "records"), "vec_label", "literal_surface", share=0.70, least=14)
 
@@ -111,10 +115,11 @@ def p5_redacted(spark: SparkSession, sf_dir: str, key: bytes = b"set a secret of
     return data.redacted(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text", key)
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared, "p10_copies": p10_copies}
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
+    "p10_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 300 QUALIFY copies > 1",
     "p9_found": f"""WITH g AS (SELECT DISTINCT cue_id, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT cue_id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT cue_id, {_WORDS.format("gold_literal_surface")} AS w FROM recall_cues WHERE split = 'holdout'))),
 d AS (SELECT doc_id, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents)))
 SELECT DISTINCT doc_id, cue_id FROM d JOIN g USING (s)""",

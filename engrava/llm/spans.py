@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engrava.llm.kit import batch_of, code_points, mix, pairs_within, rolling, runs, sliding_min, whole_groups
+from engrava.llm.kit import batch_of, code_points, collected, mix, pairs_within, rolling, runs, sliding_min, whole_groups
 from engrava.operators.skew import lookup_join
 from engrava.storage import materialize
 
@@ -77,11 +77,17 @@ def _compare(batches, span: int, pairs: bool):
             step = stop
 
 
+def _hashes(window: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Hashes of windows (by their polynomial) in their buckets."""
+    with np.errstate(over="ignore"):
+        return mix((window + mix(key, 3)).view(np.int64), 1)
+
+
 def _windows(key, doc, at, side, strings, span, pairs):
     points, start = code_points(strings)
     own = np.repeat(np.arange(len(strings)), np.maximum(np.diff(start) - span + 1, 0))
     pos = np.concatenate([np.arange(s, e - span + 1) for s, e in zip(start[:-1], start[1:])]) if len(strings) else np.empty(0, np.int64)
-    h = mix((rolling(points, span)[pos] + mix(key, 3)[own]).view(np.int64), 1)
+    h = _hashes(rolling(points, span)[pos], key[own])
     order = np.lexsort((doc[own], h))
     h, own, pos = h[order], own[order], pos[order]
     d = doc[own]
@@ -97,8 +103,18 @@ def _windows(key, doc, at, side, strings, span, pairs):
     for i in range(0, len(h), 1 << 14):
         j = slice(i, i + (1 << 14))
         same[j] = (points[pos[j][:, None] + np.arange(span)] == points[pos[head[j]][:, None] + np.arange(span)]).all(axis=1)
-    if not same.all():
-        raise RuntimeError("two different windows share a hash; run again with another seed")
+    if not same.all():  # different windows with one hash: groups by the text itself
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int64)
+        names: dict[tuple, int] = {}
+        for r in np.flatnonzero(np.isin(group, group[~same])):
+            group[r] = names.setdefault((group[r], points[pos[r] : pos[r] + span].tobytes()), len(bounds) + len(names))
+        order = np.lexsort((d, group))
+        h, own, pos, d = group[order], own[order], pos[order], d[order]
+        bounds = runs(h)
+        shared = np.repeat(np.maximum.reduceat(d, bounds[:-1]) != np.minimum.reduceat(d, bounds[:-1]), np.diff(bounds))
+        h, own, pos, d = h[shared], own[shared], pos[shared], d[shared]
+        if not len(h):
+            return
     if not pairs:
         o = np.lexsort((pos - start[own] + at[own], d))
         dd, p = d[o], (pos - start[own] + at[own])[o]
@@ -117,16 +133,14 @@ def _windows(key, doc, at, side, strings, span, pairs):
     take[one] = True
     rows = np.repeat(take, np.diff(bounds))
     h, d, s = h[rows], d[rows], side[own][rows]
-    seen = np.empty((0, 2), np.int64)
-    for i, j in pairs_within(runs(h)):
-        use = ((s[i] < 0) | (s[i] != s[j])) & (d[i] != d[j])
-        p = np.stack([np.minimum(d[i], d[j])[use], np.maximum(d[i], d[j])[use]], axis=1)
-        seen = np.unique(np.concatenate([seen, p]), axis=0)
-        if len(seen) > 1 << 18:
-            yield batch_of(a=seen[:, 0], b=seen[:, 1])
-            seen = seen[:0]
-    if len(seen):
-        yield batch_of(a=seen[:, 0], b=seen[:, 1])
+
+    def close():
+        for i, j in pairs_within(runs(h)):
+            use = ((s[i] < 0) | (s[i] != s[j])) & (d[i] != d[j])
+            yield np.stack([np.minimum(d[i], d[j])[use], np.maximum(d[i], d[j])[use]], axis=1)
+
+    for p in collected(close()):
+        yield batch_of(a=p[:, 0], b=p[:, 1])
 
 
 class SharedSpans:
@@ -181,6 +195,11 @@ class SharedSpans:
         within = small.alias("x").join(small.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.doc") < F.col("y.doc"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(within).union(large)
 
+    def classes(self) -> DataFrame:
+        """(doc, rep, n): texts that occur more than once: the least id with the same text, and how many have it. In
+        ``pairs`` a class of more than ``expand`` texts is a star around its rep."""
+        return self.copies.select("doc", "rep", "n")
+
     def shared_parts(self) -> DataFrame:
         """(doc, n_chars, n_shared, share, copies): how much of each text also stands in another."""
         found = self._compared(False, "doc long, a int, b int").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("parts"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,7 +309,13 @@ def test_plan_places_every_item_once():
         for s, k in config.items():
             used[s] = used.get(s, 0) + n * k
     assert used == histogram and plan({}, 10) == []
-    assert price(np.array([1.0, 2.1]), np.array([3, 6]), 12) == {6: 2}
+    assert price(np.array([1.0, 2.1]), np.array([3, 6]), 12)[0] == {6: 2}
+
+
+def test_the_program_packs_what_filling_from_the_largest_down_does_not():
+    histogram = {5: 600, 4: 600, 3: 600}  # 5 + 4 + 3 fills a container; largest first takes 5 + 5
+    count = lambda rounds: sum(n for _, n in plan(histogram, 12, rounds))
+    assert count(0) == 650 and count(200) <= 606
 
 
 # ---- leaks
@@ -366,6 +373,24 @@ def test_shared_spans_equal_brute_force(spark, block):
         assert r.n_shared == len(covered)
 
 
+def test_shared_spans_when_hashes_collide(spark, monkeypatch):
+    import engrava.llm.spans as spans
+
+    monkeypatch.setattr(spans, "_hashes", lambda window, key: window & np.uint64(7))
+    rows = [(d, t) for d, t in span_rows() if d is None or d < 113]
+    texts = [(d, t) for d, t in rows if d is not None and t and len(t) >= 300]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), pa.array([d for d, _ in texts]), pa.array([0] * len(texts), pa.int32()), pa.array([-1] * len(texts), pa.int32()), pa.array([t for _, t in texts])], names=["bucket", "doc", "at", "side", "s"])
+    got = {(a, b) for x in spans._compare(iter([batch]), 300, True) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    assert got == span_truth(rows, 300)
+
+
+def test_copies_have_a_class(spark):
+    t = sentence(100)
+    rows = [(i, t) for i in range(4)] + [(9, t + "x"), (10, "x"), (11, "x")]
+    got = {tuple(r) for r in SharedSpans(spark.createDataFrame(rows, "doc long, text string"), "doc", "text").classes().collect()}
+    assert got == {(i, 0, 4) for i in range(4)}
+
+
 def test_many_copies_are_a_star(spark):
     t = sentence(100)
     got = {tuple(r) for r in SharedSpans(spark.createDataFrame([(i, t) for i in range(30)], "doc long, text string"), "doc", "text").pairs(expand=10).collect()}
