@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
-from bisect import bisect_right
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -101,7 +102,7 @@ ID_NUMBER = re.compile(
 )
 
 _NAME = r"[^\W\d_][\w'’]*"
-_WAY = r"(?:street|str|st|road|rd|lane|ln|avenue|ave|court|ct|drive|dr|way|close|square|sq|terrace|place|boulevard|blvd)\b(?!\s+level)\.?"
+_WAY = r"(?:street|str|st|road|rd|lane|ln|avenue|ave|court|ct|drive|dr|way|close|square|sq|terrace|place|boulevard|blvd)\b\.?"
 _UNIT = r"(?:apt|apartment|unit|suite|ste|flat|room|floor)\.?\s?#?\d+[a-z]?"
 _TOWN = r"(?:,\s(?:\d{4,5}\s)?[^\W\d_][\w'’\-]{2,})"
 ADDRESS = re.compile(
@@ -137,8 +138,7 @@ class Finder:
         low = text.lower()
         if "@" in text or "at]" in low or "at)" in low:
             for m in EMAIL.finditer(text):
-                if not low.startswith("git", m.start()) or low[m.start() + 3] not in "@ ":
-                    add(m.start(), m.end(), "email")
+                add(m.start(), m.end(), "email")
         if " dot " in low:
             for m in SPOKEN.finditer(text):
                 add(m.start(), m.end(), "email")
@@ -198,41 +198,99 @@ def _inside(text: str, at: int) -> bool:
 # ---- pseudonyms
 
 
-def permute(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int = 8) -> int:
-    """A keyed permutation of 0..size-1: a balanced Feistel network over the next even power of two, walked in cycles."""
+def _halves(size: int) -> tuple[int, int]:
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    return half, (1 << half) - 1
+
+
+def _round(key: bytes, size: int, r: int, right: int, tweak: bytes) -> int:
+    return int.from_bytes(hmac.new(key, b"%d|%d|%d|" % (size, r, right) + tweak, hashlib.sha256).digest()[:16], "big")
+
+
+def permute(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int = 8, back: bool = False) -> int:
+    """A keyed permutation of 0..size-1, or its inverse: a balanced Feistel network over the next even power of two,
+    walked in cycles."""
+    half, mask = _halves(size)
     while True:
         left, right = value >> half, value & mask
         for r in range(rounds):
-            f = hmac.new(key, b"%d|%d|%d|" % (size, r, right) + tweak, hashlib.sha256).digest()
-            left, right = right, left ^ (int.from_bytes(f[:16], "big") & mask)
+            if back:
+                left, right = right ^ (_round(key, size, rounds - 1 - r, left, tweak) & mask), left
+            else:
+                left, right = right, left ^ (_round(key, size, r, right, tweak) & mask)
         value = left << half | right
         if value < size:
             return value
 
 
-def permuted(text: str, key: bytes, kind: str) -> str:
-    """Digits permuted as one number, letters as one word, each within its own kind; everything else stays."""
-    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text)))
-    tweak = f"{kind}|{re.sub(r'[^9aA]', '', shape)}".encode()
-    digits = [c for c in text if c.isascii() and c.isdigit()]
-    letters = [c for c in text if c.isascii() and c.isalpha()]
-    new_d, new_l = iter(()), iter(())
-    if digits:
-        n = permute(int("".join(digits)), 10 ** len(digits), key, tweak)
-        new_d = iter(str(n).zfill(len(digits)))
-    if letters:
-        n = 0
-        for c in letters:
-            n = n * 26 + ord(c.lower()) - 97
-        n = permute(n, 26 ** len(letters), key, tweak + b"|a")
-        out = []
-        for _ in letters:
-            n, k = divmod(n, 26)
-            out.append(chr(97 + k))
-        new_l = iter(reversed(out))
-    return "".join(next(new_d) if c.isascii() and c.isdigit() else (lambda x: x.upper() if c.isupper() else x)(next(new_l)) if c.isascii() and c.isalpha() else c for c in text)
+def _account_fits(s: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 and 2 <= int(s[2:4]) <= 98
+
+
+#: Numbers with check digits, in capitals and without separators: pattern, letters that stay (a country), and the check.
+CHECKED = [
+    (re.compile(r"[A-Z]{2}\d{14,32}"), 2, _account_fits),  # account numbers: modulo 97 with the first four at the end
+    (re.compile(r"\d{8}[A-Z]"), 0, lambda s: "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:8]) % 23] == s[8]),  # eight digits and a letter
+    (re.compile(r"\d{15}"), 0, lambda s: 97 - int(s[:13]) % 97 == int(s[13:])),  # thirteen digits and two of check
+]
+
+
+def permuted(text: str, key: bytes, kind: str, back: bool = False) -> str:
+    """A number in its format: digits become digits and letters letters, together permuted; everything else stays.
+
+    A number with valid check digits becomes another valid one, one whose check digits fail another such (the permutation
+    is walked on until it is of the same class), a country's letters stay. Letters keep their case at each place, which is
+    not part of the value; letters of a phone number only mark its extension and stay.
+    """
+    compact = "".join(c for c in text.upper() if c.isascii() and c.isalnum())
+    keep, fits = next(((k, f) for p, k, f in CHECKED if kind == "id_number" and p.fullmatch(compact)), (0, None))
+    free = [i for i, c in enumerate(compact) if i >= keep and (c.isdigit() or kind != "phone")]
+    if not free:
+        return text
+    tweak = f"{kind}|{compact[:keep]}|{''.join('9' if c.isdigit() else 'A' for c in compact)}".encode()
+    bases = [10 if compact[i].isdigit() else 26 for i in free]
+    value, size = 0, functools.reduce(int.__mul__, bases)
+    for i, base in zip(free, bases):
+        value = value * base + (int(compact[i]) if base == 10 else ord(compact[i]) - 65)
+
+    def written(n: int) -> str:
+        out = list(compact)
+        for i, base in zip(reversed(free), reversed(bases)):
+            n, k = divmod(n, base)
+            out[i] = str(k) if base == 10 else chr(65 + k)
+        return "".join(out)
+
+    valid = fits is not None and fits(compact)
+    while True:
+        value = permute(value, size, key, tweak, back=back)
+        new = written(value)
+        if fits is None or fits(new) == valid:
+            break
+    chars = iter(new)
+    return "".join((lambda x: x.lower() if c.islower() else x)(next(chars)) if c.isascii() and c.isalnum() else c for c in text)
+
+
+#: Dates of these forms (and of the years 1900 to 2099) that stand alone, not as part of a time or a number.
+DATE = re.compile(r"(?<![\w./:\-])(?:(\d{4})([-/.])(\d{2})\2(\d{2})|(\d{2})([-/.])(\d{2})\6(\d{4}))(?![\w/:\-]|\.\d|\s\d{1,2}:\d)")
+_FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+
+
+def _day(m: re.Match) -> date | None:
+    y, mo, d = (m[1], m[3], m[4]) if m[1] else (m[8], m[7], m[5])
+    try:
+        return date(int(y), int(mo), int(d)) if 1900 <= int(y) < 2100 else None
+    except ValueError:
+        return None
+
+
+def permuted_date(text: str, key: bytes, back: bool = False) -> str:
+    """A date as another date in the same form; equal days in different forms stay equal. No date: unchanged."""
+    m = DATE.fullmatch(text)
+    day = _day(m) if m else None
+    if day is None:
+        return text
+    to = date.fromordinal(_FIRST + permute(day.toordinal() - _FIRST, _DAYS, key, b"date", back=back))
+    return f"{to.year:04}{m[2]}{to.month:02}{m[2]}{to.day:02}" if m[1] else f"{to.day:02}{m[6]}{to.month:02}{m[6]}{to.year:04}"
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:
@@ -240,6 +298,8 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
     whatever their case, spacing or punctuation (numbers keep their own separators)."""
     if kind in ("phone", "id_number"):
         return f"<{kind.upper()}:{permuted(value, key, kind)}>"
+    if kind == "date":
+        return f"<DATE:{permuted_date(value, key)}>"
     plain = value.lower()
     if kind == "email":
         plain = re.sub(r"\s?[\[(]?\s?\bdot\b\s?[\])]?\s?", ".", re.sub(_AT, "@", plain, count=1))
@@ -255,16 +315,30 @@ def redacted(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
+def restored(text: str, key: bytes) -> str:
+    """A redacted text with its numbers and dates as they were; other placeholders can't be undone and stay."""
+    back = lambda m: permuted_date(m[2], key, True) if m[1] == "DATE" else permuted(m[2], key, m[1].lower(), True)
+    return re.sub(r"<(PHONE|ID_NUMBER|DATE):([^<>]*)>", back, text)
+
+
+def with_dates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """spans and those of dates that stand outside of them."""
+    more = [(m.start(), m.end(), "date") for m in DATE.finditer(text) if _day(m)]
+    return sorted(spans + [x for x in more if all(x[1] <= s or x[0] >= e for s, e, _ in spans)])
+
+
 # ---- over tables
 
 
-def _scan(batches, parts, key: bytes | None):
+def _scan(batches, parts, key: bytes | None, dates: bool = False):
     finder = Finder(Names(parts))
     for b in batches:
         rows, kinds, starts, ends, texts = [], [], [], [], []
         for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
             spans = finder.spans(t) if t else []
             if key is not None:
+                if dates and t:
+                    spans = with_dates(t, spans)
                 texts.append(redacted(t, spans, key) if spans else t)
                 rows.append(len(spans))
                 continue
@@ -297,8 +371,9 @@ class PersonalData:
         kinds = ", ".join(f"`{n}` {k}" for n, k in t.dtypes[:-1])
         return t.mapInArrow(lambda it: _scan(it, parts, None), f"{kinds}, kind string, start_at int, end_at int")
 
-    def redacted(self, table: DataFrame, keys: list[str], text: str, key: bytes) -> DataFrame:
-        """keys, text, n_items: each text with placeholders in place of its items; texts without items unchanged."""
+    def redacted(self, table: DataFrame, keys: list[str], text: str, key: bytes, dates: bool = False) -> DataFrame:
+        """keys, text, n_items: each text with placeholders in place of its items, and of dates that stand alone if
+        wanted; texts without any unchanged. The secret key decides the pseudonyms; it is shipped to the tasks."""
         parts, t = self.parts, table.select(*keys, F.col(text).alias("__text"))
         kinds = ", ".join(f"`{n}` {k}" for n, k in t.dtypes[:-1])
-        return t.mapInArrow(lambda it: _scan(it, parts, key), f"{kinds}, text string, n_items int")
+        return t.mapInArrow(lambda it: _scan(it, parts, key, dates), f"{kinds}, text string, n_items int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engrava.functions.instants import blank, parse_instant
@@ -110,9 +112,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.found(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text").select("src_table", "row_key", "block_no", "kind", "start_at")
 
 
-def p5_redacted(spark: SparkSession, sf_dir: str, key: bytes = b"set a secret of your own") -> DataFrame:
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the session's ``spark.engrava.pii.key``; without one, a secret that ends with this call."""
+    key = (spark.conf.get("spark.engrava.pii.key", None) or secrets.token_hex(32)).encode()
     data = PersonalData(load(spark, sf_dir, "name_parts"), "name_part", "part_kind")
-    return data.redacted(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text", key)
+    return data.redacted(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text", key, dates=True)
 
 
 QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared, "p10_copies": p10_copies}

@@ -13,7 +13,7 @@ from engrava.llm.conversations import Conversations
 from engrava.llm.leaks import leaked
 from engrava.llm.near import NearTexts, _chains, _segments, budget, rings
 from engrava.llm.packing import CAPACITY, Packing, encoder, plan, price, TOKENIZER
-from engrava.llm.pii import Finder, Names, PersonalData, permute, permuted, placeholder, redacted
+from engrava.llm.pii import Finder, Names, PersonalData, permute, permuted, permuted_date, placeholder, redacted, restored, with_dates
 from engrava.llm.similar import GROUP, LOAD, SimilarVectors, index_plan
 from engrava.llm.spans import SharedSpans
 from engrava.operators.components import connected_components
@@ -435,6 +435,35 @@ def test_pseudonyms_keep_form_and_links():
     assert re.fullmatch(r"call <PHONE:\d{3}\.\d{3}\.\d{4}> or <PERSON:[0-9a-f]{8}>", out)
 
 
+def test_pseudonyms_round_trip_and_keep_check_digits():
+    key = b"k"
+    letter = lambda n: f"{n:08}-" + "TRWAGMYFPDXBNJZSQVHLCKE"[n % 23]
+    account = lambda n: next(x for x in (f"DE{c:02}{n:018}" for c in range(2, 99)) if int(x[4:] + "1314" + x[2:4]) % 97 == 1)
+    thirteen = lambda n: f"{n:013}{97 - n % 97:02}"
+    for make in (letter, account, thirteen):
+        good = [make(n * 7919) for n in range(60)]
+        new = [permuted(x, key, "id_number") for x in good]
+        assert len(set(new)) == 60 and [permuted(x, key, "id_number", back=True) for x in new] == good
+        for x in new:
+            n = int("".join(c for c in x if c.isdigit())[: 8 if make is letter else 13]) if make is not account else int(x[4:])
+            assert make(n) == x  # valid again
+        bad = [x[:-1] + ("0" if x[-1] != "0" else "1") if make is not letter else x[:-1] + ("B" if x[-1] != "B" else "T") for x in good]
+        back = [permuted(permuted(x, key, "id_number"), key, "id_number", back=True) for x in bad]
+        assert back == bad and not set(map(lambda x: permuted(x, key, "id_number"), bad)) & set(new)
+    assert permuted("ab123456c", key, "id_number") == permuted("AB123456C", key, "id_number").lower()
+    assert re.fullmatch(r"\d{3}\.\d{3}\.\d{4} ext \d{3}", permuted("202.555.0185 ext 853", key, "phone"))
+
+
+def test_dates_are_permuted_within_their_form():
+    key, text = b"k", "born 1987-02-11, seen 11.02.1987 and 2025/13/01; at 2025-01-05T10:27:39 v1.2024-01-01 or 2024-01-05 10:27"
+    out = redacted(text, with_dates(text, []), key)
+    a, b = re.fullmatch(r"born <DATE:(\d{4}-\d\d-\d\d)>, seen <DATE:(\d\d\.\d\d\.\d{4})> and 2025/13/01; at 2025-01-05T10:27:39 v1.2024-01-01 or 2024-01-05 10:27", out).groups()
+    assert a == "-".join(reversed(b.split("."))) != "1987-02-11" and restored(out, key) == text
+    days = [f"{y}-{m:02}-28" for y in range(1900, 2100) for m in range(1, 13)]
+    assert len({permuted_date(d, key) for d in days}) == len(days) and all(permuted_date(permuted_date(d, key), key, True) == d for d in days[:50])
+    assert permuted_date("2023-02-30", key) == "2023-02-30"
+
+
 def test_personal_data_over_tables(spark):
     names = spark.createDataFrame([*PARTS, (None, "given"), ("X", None)], "part string, kind string")
     p = PersonalData(names, "part", "kind")
