@@ -34,3 +34,9 @@ def quantized(a: Column) -> Column:
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top > 0, top / 127.0).otherwise(F.lit(1.0))
     return F.struct(scale.alias("scale"), F.transform(a, lambda x: F.rint(x.cast("double") / scale).cast("int")).alias("values"))
+
+
+def well_formed(a: Column, width: int) -> Column:
+    """True for ``width`` finite values that are not all zero."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return a.isNotNull() & (F.size(a) == width) & F.forall(a, fine) & F.exists(a, lambda x: x != 0)

@@ -20,6 +20,29 @@ def rrf(lanes: list[DataFrame], key: str, score: str, base: int = 0, depth: int
     return reduce(DataFrame.unionByName, map(ranked, lanes)).groupBy(key).agg(F.sum("part").alias("rrf"))
 
 
+def two_lanes(lexical: DataFrame, semantic: DataFrame, key: str, score: str, cos: str, k: int) -> DataFrame:
+    """(key, score, cos, rrf, lane): the k best of two lanes of k rows each by the sum of 1 / (60 + rank), ranks from 0;
+    then by score, by cos and by key. lane names the one that has the row, or both."""
+    ranked = lambda lane, by, r: lane.orderBy(F.desc(by), key).limit(k).withColumn(r, F.row_number().over(W.orderBy(F.desc(by), key)) - 1)
+    both = ranked(lexical, score, "__a").join(ranked(semantic, cos, "__b"), key, "full_outer")
+    part = lambda r: F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
+    lane = F.when(F.col("__b").isNull(), "lexical").when(F.col("__a").isNull(), "semantic").otherwise("both")
+    hits = both.select(key, score, cos, (part("__a") + part("__b")).alias("rrf"), lane.alias("lane"))
+    return hits.orderBy(F.desc("rrf"), F.desc(F.coalesce(score, F.lit(0.0))), F.desc(F.coalesce(cos, F.lit(0.0))), key).limit(k)
+
+
+def recalled(records: DataFrame, cue: str | None, at: Column | None, k: int = 10) -> DataFrame:
+    """The k records that recall gives. With a cue the most similar (``cos``, then vec_label) of those alive now, or as
+    of ``at``: created by then and not yet tombstoned; without a cue the newest of those; with neither none."""
+    from engrava.functions.instants import blank, parse_instant
+
+    if cue is None and at is None:
+        return records.limit(0)
+    made, gone = parse_instant(F.col("created_at")), parse_instant(F.col("tombstoned_at"))
+    there = blank(F.col("tombstoned_at")) if at is None else (made <= at) & (gone.isNull() | (gone > at))
+    return records.where(there).orderBy(F.desc("cos") if cue is not None else F.desc(made), "vec_label").limit(k)
+
+
 def fused(cos: Column, anchor: Column, degree: Column, max_degree: Column, age_days: Column, stability: Column, valence: Column, trigram: Column, whole_cue: Column, lexical_rank: Column | None = None, w_cos: float = 1.0, w_degree: float = 0.1) -> Column:
     """The fused relevance of a candidate from its signals."""
     base = w_cos * cos + 0.3 * anchor + F.when(max_degree > 0, w_degree * F.log1p(degree) / F.log1p(max_degree)).otherwise(0.0) - 0.05 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), age_days / 30))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from engrava.functions import text as tx, vector as vec
@@ -21,27 +23,22 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOW = "translate(literal_surface, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_LEX = "list_concat([x], CASE WHEN len(list_filter(string_split(x, '_'), lambda p: length(p) > 2)) > 1 THEN list_filter(string_split(x, '_'), lambda p: length(p) > 2) ELSE [] END)"
-#: DuckDB's expressions have no lookaround, so the SQL reads lower-cased text, which has no camel case.
-_TOKENS = f"flatten(list_transform(regexp_extract_all({_LOW}, '[A-Za-z_][A-Za-z0-9_]{{1,}}|[0-9]{{3,}}'), lambda x: {_LEX}))"
-
-
-def lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import string
-
-    return surfaces(spark, sf_dir).withColumn("text", F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+_SEAMS = "lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1#\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1#\\2', 'g'))"
+_PARTS = "CASE WHEN len(list_filter(string_split({0}, '{1}'), lambda p: length(p) > 2)) > 1 THEN list_filter(string_split({0}, '{1}'), lambda p: length(p) > 2) ELSE [] END"
+_LEX = f"list_concat([lower(x)], {_PARTS.format('lower(x)', '_')}, {_PARTS.format(_SEAMS, '#')})"
+_TOKENS = f"flatten(list_transform(regexp_extract_all(literal_surface, '[A-Za-z_][A-Za-z0-9_]{{1,}}|[0-9]{{3,}}'), lambda x: {_LEX}))"
 
 
 @q("text_tokens", f"SELECT vec_label, CAST(len(t) AS INT) AS n, array_to_string(t, ' ') AS t FROM (SELECT vec_label, {_TOKENS} AS t FROM records WHERE literal_surface IS NOT NULL)")
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lowered(spark, sf_dir).where("text is not null").select("vec_label", tx.tokens(F.col("text")).alias("t"))
+    t = surfaces(spark, sf_dir).where("text is not null").select("vec_label", tx.tokens(F.col("text")).alias("t"))
     return t.select("vec_label", F.size("t").alias("n"), F.array_join("t", " ").alias("t"))
 
 
-@q("text_camel_tokens")
+@q("text_camel_tokens", f"SELECT doc_id, CAST(len(t) AS INT) AS n, array_to_string(t, ' ') AS t FROM (SELECT doc_id, {_TOKENS.replace('literal_surface', 'text')} AS t FROM documents WHERE text IS NOT NULL)")
 def text_camel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([("parseHTTPResponse snake_case_name v2",), ("getUserById2 x",)], "s string")
-    return d.select("s", F.array_join(tx.tokens(F.col("s")), " ").alias("t"))
+    t = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("t"))
 
 
 _TRI = "(CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substring({0}, i, 3))) ELSE [] END)"
@@ -170,17 +167,17 @@ x AS (SELECT doc, token, ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBL
 
 @q("lexical_postings", f"SELECT doc, token, count(*) AS tf, CAST(max(len) AS INT) AS len FROM {_POST} GROUP BY doc, token")
 def lexical_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.postings(lowered(spark, sf_dir), "vec_label", "text")
+    return lex.postings(surfaces(spark, sf_dir), "vec_label", "text")
 
 
 @q("lexical_stats", f"SELECT count(*) AS n_docs, round(greatest(1.0, avg(len)), 6) AS avg_len FROM (SELECT DISTINCT doc, len FROM {_POST})")
 def lexical_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.stats(lowered(spark, sf_dir), "vec_label", "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+    return lex.stats(surfaces(spark, sf_dir), "vec_label", "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 @q("lexical_search_any", f"{_BM} SELECT doc, round(sum(score), 6) AS score FROM x GROUP BY doc ORDER BY sum(score) DESC, doc LIMIT 20")
 def lexical_search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.search_any(lowered(spark, sf_dir), "vec_label", "text", CUE, 20).select("doc", F.round("score", 6).alias("score"))
+    return lex.search_any(surfaces(spark, sf_dir), "vec_label", "text", CUE, 20).select("doc", F.round("score", 6).alias("score"))
 
 
 def _soft_sql() -> str:
@@ -193,7 +190,7 @@ def _soft_sql() -> str:
 
 @q("lexical_search_soft_and", _soft_sql())
 def lexical_search_soft_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.search_soft_and(lowered(spark, sf_dir), "vec_label", "text", CUE, 20).select("doc", F.round("score", 6).alias("score"))
+    return lex.search_soft_and(surfaces(spark, sf_dir), "vec_label", "text", CUE, 20).select("doc", F.round("score", 6).alias("score"))
 
 
 @q("lexical_snippets", "WITH l AS (SELECT doc_id AS doc, i - 1 AS line_no, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)), "
@@ -229,19 +226,61 @@ _TRIL = f"(SELECT vec_label AS doc, len(list_intersect(a, b)) / len(list_distinc
 
 @q("hybrid_rrf", f"{_BM}, a AS (SELECT doc, 1.0 / (59 + row_number() OVER (ORDER BY round(score, 9) DESC, doc)) AS part FROM {_LANE.replace('ORDER BY 2', 'ORDER BY round(sum(score), 9)')}), b AS (SELECT doc, 1.0 / (59 + row_number() OVER (ORDER BY round(score, 9) DESC, doc)) AS part FROM {_TRIL}) SELECT doc, round(sum(part), 8)::DOUBLE AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc ORDER BY rrf DESC, doc LIMIT 24")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lowered(spark, sf_dir)
+    d = surfaces(spark, sf_dir)
     a = lex.scored(d, "vec_label", "text", CUE).groupBy("doc").agg(F.round(F.sum("score"), 9).alias("score"))
     b = d.where(F.length("text") >= 3).select(F.col("vec_label").alias("doc"), F.round(tx.trigram_jaccard(F.col("text"), F.lit(CUE)), 9).alias("score"))
     return rk.rrf([a, b], "doc", "score").select("doc", F.round("rrf", 8).alias("rrf")).orderBy(F.desc("rrf"), "doc").limit(24)
 
 
-@q("tools_rrf_weak_gate")
+_WHOLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_ALIVE = "trim(coalesce(tombstoned_at, '')) = ''"
+#: The query vector: the well-formed embedding of least vec_label.
+_RQV = f"(SELECT embedding AS qv FROM records WHERE {_WHOLE} ORDER BY vec_label LIMIT 1)"
+_COS = "round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 9)"
+
+
+def with_record_query(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Records with a well-formed embedding, their columns, and ``cos`` to the query vector (one broadcast row)."""
+    r = load(spark, sf_dir, "records").where(vec.well_formed(F.col("embedding"), 64))
+    one = r.orderBy("vec_label").limit(1).select(F.col("embedding").alias("qv"))
+    return r.select("vec_label", "embedding", *columns).join(F.broadcast(one)).select("vec_label", *columns, F.round(vec.cosine(F.col("embedding"), F.col("qv")), 9).alias("cos"))
+
+
+@q("hybrid_search", f"{_BM.replace('WHERE literal_surface IS NOT NULL', f'WHERE literal_surface IS NOT NULL AND {_ALIVE}')}, a AS (SELECT doc, round(sum(score), 9) AS bm25, row_number() OVER (ORDER BY round(sum(score), 9) DESC, doc) AS ra FROM x GROUP BY doc QUALIFY ra <= 24), "
+   f"b AS (SELECT vec_label AS doc, {_COS} AS cos, row_number() OVER (ORDER BY {_COS} DESC, vec_label) AS rb FROM records, {_RQV} WHERE {_WHOLE} AND {_ALIVE} QUALIFY rb <= 24) "
+   "SELECT doc, round(coalesce(1.0::DOUBLE / (59 + ra), 0) + coalesce(1.0::DOUBLE / (59 + rb), 0), 8) AS rrf, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 'both' WHEN ra IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS lane, round(cos, 3) AS cos FROM a FULL JOIN b USING (doc) ORDER BY coalesce(1.0::DOUBLE / (59 + ra), 0) + coalesce(1.0::DOUBLE / (59 + rb), 0) DESC, coalesce(bm25, 0) DESC, coalesce(b.cos, 0) DESC, doc LIMIT 24")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k = 24 best of a lexical and a semantic lane of k each among living records, by reciprocal ranks from 0."""
+    alive = load(spark, sf_dir, "records").where("trim(coalesce(tombstoned_at, '')) = ''").select("vec_label", F.col("literal_surface").alias("text"))
+    a = lex.scored(alive, "vec_label", "text", CUE).groupBy("doc").agg(F.round(F.sum("score"), 9).alias("bm25"))
+    b = with_record_query(spark, sf_dir, "tombstoned_at").where("trim(coalesce(tombstoned_at, '')) = ''").select(F.col("vec_label").alias("doc"), "cos")
+    return rk.two_lanes(a, b, "doc", "bm25", "cos", 24).select("doc", F.round("rrf", 8).alias("rrf"), "lane", F.round("cos", 3).alias("cos"))
+
+
+_AT = "TIMESTAMP '2025-12-31 00:00:00'"
+_THEN = f"embedding_pending IS DISTINCT FROM 1 AND {_MADE} <= {_AT} AND ({_INSTANT.format('tombstoned_at')} IS NULL OR {_INSTANT.format('tombstoned_at')} > {_AT})"
+
+
+@q("recall_similar_as_of", f"SELECT 'cue' AS asked, vec_label, {_COS} AS score FROM records, {_RQV} WHERE {_WHOLE} AND {_ALIVE} AND embedding_pending IS DISTINCT FROM 1 QUALIFY row_number() OVER (ORDER BY {_COS} DESC, vec_label) <= 10 "
+   f"UNION ALL SELECT 'cue and time', vec_label, {_COS} FROM records, {_RQV} WHERE {_WHOLE} AND {_THEN} QUALIFY row_number() OVER (ORDER BY {_COS} DESC, vec_label) <= 10 "
+   f"UNION ALL SELECT 'time', vec_label, 0.0 FROM records WHERE {_THEN} QUALIFY row_number() OVER (ORDER BY {_MADE} DESC, vec_label) <= 10")
+def recall_similar_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recall answers with a cue, with a cue as of a time, and as of a time alone; with neither it answers nothing."""
+    at = F.lit("2025-12-31 00:00:00Z").cast("timestamp")
+    columns = ("created_at", "tombstoned_at", "embedding_pending")
+    ready = F.coalesce("embedding_pending", F.lit(0)) != 1
+    cued = with_record_query(spark, sf_dir, *columns).where(ready)
+    every = load(spark, sf_dir, "records").where(ready).select("vec_label", *columns, F.lit(0.0).alias("cos"))
+    return reduce(DataFrame.union, [rk.recalled(cued, "cue", None).select(F.lit("cue").alias("asked"), "vec_label", F.col("cos").alias("score")), rk.recalled(cued, "cue", at).select(F.lit("cue and time"), "vec_label", "cos"), rk.recalled(every, None, at).select(F.lit("time"), "vec_label", "cos"), rk.recalled(every, None, None).select(F.lit("nothing"), "vec_label", "cos")])
+
+
+@q("tools_rrf_weak_gate", f"{_BM}, a AS (SELECT doc, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, doc)) AS part FROM {_LANE.replace('ORDER BY 2', 'ORDER BY round(sum(score), 9)')}), b AS (SELECT doc, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, doc)) AS part FROM {_TRIL}), t AS (SELECT doc, round(sum(part), 12) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc ORDER BY rrf DESC, doc LIMIT 10) SELECT doc, round(rrf, 8) AS rrf, max(rrf) OVER () < 0.03 AS weak FROM t")
 def tools_rrf_weak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lowered(spark, sf_dir)
+    d = surfaces(spark, sf_dir)
     a = lex.scored(d, "vec_label", "text", CUE).groupBy("doc").agg(F.round(F.sum("score"), 9).alias("score"))
     b = d.where(F.length("text") >= 3).select(F.col("vec_label").alias("doc"), F.round(tx.trigram_jaccard(F.col("text"), F.lit(CUE)), 9).alias("score"))
-    top = rk.rrf([a, b], "doc", "score", base=1).orderBy(F.desc("rrf"), "doc").limit(10)
-    return top.withColumn("weak", F.max("rrf").over(W.partitionBy()) < 0.03)
+    top = rk.rrf([a, b], "doc", "score", base=1).withColumn("rrf", F.round("rrf", 12)).orderBy(F.desc("rrf"), "doc").limit(10)
+    return top.withColumn("weak", F.max("rrf").over(W.partitionBy()) < 0.03).withColumn("rrf", F.round("rrf", 8))
 
 
 QUERIES, SQL = q.queries, q.sql
