@@ -52,6 +52,25 @@ def fused(cos: Column, anchor: Column, degree: Column, max_degree: Column, age_d
     return s if lexical_rank is None else s + F.when(lexical_rank.isNotNull(), 0.35 / (1 + lexical_rank)).otherwise(0.0)
 
 
+def fused_full(s: dict[str, Column], w_cos: float = 1.0, w_degree: float = 0.1, w_spread: float = 0.0, mode_bias: float = 0.1, w_struct: float = 0.0) -> Column:
+    """The fused relevance with every term, of the signals named below; a null signal adds nothing.
+
+    cos, anchor, degree, max_degree, age_days, stability, valence, trigram, whole_cue; lexical_rank from 0, null where the
+    lexical lane has no such row; seed, the cosine of the seed that reaches the candidate, times 0.6 for each hop;
+    community and max_community, scores of its community and of the best; structural, a similarity in 0..1; damp, what
+    counts of degree and community where cosines are all alike (``damped``).
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = w_cos * s["cos"] + 0.3 * zero(s["anchor"]) + F.when(s["max_degree"] > 0, w_degree * s["damp"] * F.log1p(zero(s["degree"])) / F.log1p(s["max_degree"])).otherwise(0.0)
+    base = base - 0.05 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), zero(s["age_days"]) / 30)) + w_spread * zero(s["seed"])
+    base = base + mode_bias * s["damp"] * s["cos"] * F.when(s["max_community"] > 0, F.greatest(F.lit(0.0), zero(s["community"]) / s["max_community"])).otherwise(0.0)
+    if w_struct > 0:
+        base = (1 - w_struct) * base + w_struct * zero(s["structural"])
+    out = base + (1 - F.least(F.lit(1.0), F.coalesce(s["stability"], F.lit(0.5)))) * 0.1
+    out = out * F.when(s["valence"] > 0, 1 + s["valence"]).otherwise(1.0) * F.when(s["trigram"] > 0.3, 2.0).otherwise(1.0) * F.when(s["whole_cue"], 3.0).otherwise(1.0)
+    return out + F.when(s["lexical_rank"].isNotNull(), 0.35 / (1 + s["lexical_rank"])).otherwise(0.0)
+
+
 def damped(spread: Column, full: float = 0.02) -> Column:
     """How much of the structural weights counts where cosines are all alike."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), spread / full))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from engrava.functions import text as tx
+from engrava.functions.instants import parse_instant
 from engrava.functions.vector import cosine
-from engrava.operators import graphs as gr, hyper as hd, ranking as rk
+from engrava.operators import graphs as gr, hyper as hd, lexical as lex, ranking as rk
 from engrava.operators.components import connected_components
 from engrava.operators.pairs import near_pairs
+from engrava.plans.general import _INSTANT
 from engrava.plans.graphed import D, _E, graph, labels, vectors
 from engrava.plans.joined import clean_edges
 from engrava.plans.registry import Queries
 from engrava.plans.retrieval import with_query
+from engrava.plans.texts import CUE, _BM, _COS, _RQV, _TRI, _WHOLE, surfaces, with_record_query
+from engrava.storage import materialize
 from engrava.tables import load
 
 q = Queries()
@@ -148,4 +152,50 @@ def merge_shared_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(e, "vec_label", "leader").groupBy("component").agg(F.count("*").alias("n"))
 
 
+_FULL = f"""{_BM}, lx AS (SELECT doc AS vec_label, row_number() OVER (ORDER BY round(sum(score), 9) DESC, doc) - 1 AS lex FROM x GROUP BY doc QUALIFY lex < 100),
+ue AS (SELECT src AS u, dst AS v FROM {_E} WHERE src <> dst UNION SELECT dst, src FROM {_E} WHERE src <> dst), dg AS (SELECT u AS id, count(*) AS degree FROM ue GROUP BY u),
+an AS (SELECT record_id AS id, ({_ANS}) / {float(len(CUE_TOKENS))} AS anchor FROM (SELECT record_id, list(lower(split_part(tag, ':', 2))) AS a FROM record_tags GROUP BY record_id)),
+c AS (SELECT id, vec_label, community_id, stability, valence, literal_surface AS t, {_INSTANT.format('created_at')} AS made, {_COS} AS cos, len(list_filter(list_zip(embedding, qv), lambda z: (z[1] >= 0) = (z[2] >= 0))) / 64 AS alike FROM records, {_RQV} WHERE {_WHOLE}),
+sd AS (SELECT id, cos FROM c ORDER BY cos DESC, vec_label LIMIT 3), h1 AS (SELECT v AS id, max(cos) * 0.6 AS seed FROM sd JOIN ue ON u = sd.id GROUP BY v), h2 AS (SELECT v AS id, max(seed) * 0.6 AS seed FROM h1 JOIN ue ON u = h1.id GROUP BY v),
+sp AS (SELECT id, max(seed) AS seed FROM (SELECT id, cos AS seed FROM sd UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY id), cm AS (SELECT community_id, max(cos) AS best FROM c WHERE community_id IS NOT NULL GROUP BY 1),
+k AS (SELECT (SELECT max(degree) FROM dg) AS md, (SELECT max(best) FROM cm) AS mc, (SELECT max(made) FROM c) AS now, least(1.0, greatest(0.0, (SELECT max(cos) - min(cos) FROM (SELECT cos FROM c ORDER BY cos DESC LIMIT 10)) / 0.02)) AS damp),
+f AS (SELECT c.vec_label, 0.9 * (cos + 0.3 * coalesce(anchor, 0) + 0.1 * damp * ln(1 + coalesce(degree, 0)) / ln(1 + md) - 0.05 * least(1.0, greatest(0.0, coalesce((epoch(now) - epoch(made)) / 86400, 0) / 30)) + 0.2 * coalesce(seed, 0) + 0.1 * damp * cos * greatest(0.0, coalesce(best, 0) / mc)) + 0.1 * alike AS base,
+ stability, valence, lex, coalesce(length(t) >= 3 AND len(list_intersect({_TRI.format('lower(t)')}, {_TRI.format("'" + CUE + "'")})) / len(list_distinct(list_concat({_TRI.format('lower(t)')}, {_TRI.format("'" + CUE + "'")}))) > 0.3, FALSE) AS tri, coalesce(contains(lower(t), '{CUE}'), FALSE) AS whole
+ FROM c LEFT JOIN lx USING (vec_label) LEFT JOIN dg ON dg.id = c.id LEFT JOIN an ON an.id = c.id LEFT JOIN sp ON sp.id = c.id LEFT JOIN cm ON cm.community_id = c.community_id, k)
+SELECT vec_label, round((base + (1 - least(1.0, coalesce(stability, 0.5))) * 0.1) * CASE WHEN valence > 0 THEN 1 + valence ELSE 1 END * CASE WHEN tri THEN 2 ELSE 1 END * CASE WHEN whole THEN 3 ELSE 1 END + coalesce(0.35 / (1 + lex), 0), 5) AS score FROM f"""
+
+
+@q("fused_full", _FULL)
+def fused_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused score with all its terms: anchors, lexical ranks, spread over two hops from the three best, community bias,
+    structural agreement (of signs), damped where the ten best cosines are alike."""
+    c = materialize(with_record_query(spark, sf_dir, "id", "community_id", "stability", "valence", "literal_surface", "created_at", "embedding").withColumn("made", parse_instant(F.col("created_at"))), "candidates")
+    first = c.orderBy("vec_label").limit(1).select(F.col("embedding").alias("qv"))
+    edges = clean_edges(spark, sf_dir).where("src <> dst").select("src", "dst")
+    both = materialize(edges.union(edges.select("dst", "src")).distinct().toDF("u", "v"), "both")
+    degree = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
+    tags = load(spark, sf_dir, "record_tags").groupBy(F.col("record_id").alias("id")).agg(F.collect_set(F.coalesce(F.get(F.split(F.lower("tag"), ":"), F.lit(1)), F.lit(""))).alias("a"))
+    anchor = tags.select("id", tx.anchor_overlap(CUE_TOKENS, F.col("a")).alias("anchor"))
+    scores = lex.scored(surfaces(spark, sf_dir), "vec_label", "text", CUE).groupBy("doc").agg(F.round(F.sum("score"), 9).alias("bm25")).orderBy(F.desc("bm25"), "doc").limit(100)
+    ranks = scores.select(F.col("doc").alias("vec_label"), (F.row_number().over(W.orderBy(F.desc("bm25"), "doc")) - 1).alias("lexical_rank"))  # 100 rows
+    seeds = c.orderBy(F.desc("cos"), "vec_label").limit(3).select("id", F.col("cos").alias("seed"))
+    hop = lambda near: both.join(F.broadcast(near.withColumnRenamed("id", "u")), "u").groupBy(F.col("v").alias("id")).agg((F.max("seed") * 0.6).alias("seed"))
+    one = hop(seeds)
+    two = both.join(one.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg((F.max("seed") * 0.6).alias("seed"))
+    spread = seeds.union(one).union(two).groupBy("id").agg(F.max("seed").alias("seed"))
+    community = c.where("community_id is not null").groupBy("community_id").agg(F.max("cos").alias("community"))
+    head = c.orderBy(F.desc("cos")).limit(10).agg((F.max("cos") - F.min("cos")).alias("head"))
+    facts = head.join(degree.agg(F.max("degree").alias("max_degree"))).join(c.agg(F.max("made").alias("now"))).join(community.agg(F.max("community").alias("max_community"))).join(first)  # one row
+    rows = c.join(F.broadcast(ranks), "vec_label", "left").join(degree, "id", "left").join(anchor, "id", "left").join(spread, "id", "left").join(community, "community_id", "left").join(F.broadcast(facts))
+    signals = {k: F.col(k) for k in ("cos", "anchor", "degree", "max_degree", "stability", "valence", "lexical_rank", "seed", "community", "max_community")}
+    signals |= {
+        "age_days": (F.unix_micros("now") - F.unix_micros("made")) / 86400e6,
+        "trigram": F.coalesce(tx.trigram_jaccard(F.col("literal_surface"), F.lit(CUE)), F.lit(0.0)),
+        "whole_cue": F.coalesce(tx.contains_cue(F.col("literal_surface"), CUE), F.lit(False)),
+        "structural": F.size(F.filter(F.zip_with("embedding", "qv", lambda x, y: (x >= 0) == (y >= 0)), lambda x: x)) / 64,
+        "damp": rk.damped(F.col("head")),
+    }
+    return rows.select("vec_label", F.round(rk.fused_full(signals, w_spread=0.2, w_struct=0.1), 5).alias("score"))
+
+
 QUERIES, SQL = q.queries, q.sql
