@@ -10,26 +10,47 @@ from pyspark.sql import Column, functions as F
 
 # What the classifiers look for.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]{1,}|[0-9]{3,}"
-IDENTIFIER = [r'"[^"]{4,}"', r"\b(?:[A-Za-z_]\w*\d|\d\w*[A-Za-z_])\w*\b", r"\b\w+_\w+\b", r"\b[a-z]+[A-Z]\w*\b", r"\b[A-Z]{5,}\b", r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b", r"\b[A-Za-z_]\w*/[A-Za-z_]\w\S*"]
+IDENTIFIER = [r'"[^"]{4,}"', r"\b(?=\w*[A-Za-z])(?=\w*\d)\w+\b", r"\b\w+_\w+\b", r"\b[a-z]+[A-Z]\w*\b", r"\b[A-Z]{5,}\b", r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b", r"\b[A-Za-z_]\w*/[A-Za-z_]\w\S*"]
 ESTIMATE = ["approximately", "roughly", "about", "around", "probably", "i think", "seems?", "i(?:'d)? guess", "more or less"]
 HYPOTHESIS = ["maybe", "might be", "could be that", "i suspect", "what if", "could be", "possibly", "perhaps"]
 OPINION = ["i prefer", "i like", "better", "worse", "i'?d rather", "i love", "in my opinion"]
 FACT = ["confirmed", "measured", "verified", "definitely", "turns out", "in fact", "the fact is"]
-VERBATIM = [r'"[^"]+"', "«[^»]+»", r"(?i)\b(?:verbatim|exact|quote|quoted|said|wrote)\b", r"(?i)\bday\s+\d+\b", "(?i)^(?:найди дословно|точная цитата|что я сказал|что я писал)"]
+VERBATIM = [r'"[^"]+"', "«[^»]+»", r"(?i)\b(?:verbatim|exact|quote|quoted|said|wrote)\b", r"(?i)\bday\s+\d+\b", "(?i)^найди дословно", "(?i)^точная цитата", "(?i)^что я сказал", "(?i)^что я писал"]
 HISTORICAL = ["original", "originally", "before", "first", "initial", "initially", "earlier", "previously", "previous"]
+HISTORICAL_RU = [r"оригинал|оригинальн\w*", "сначала", r"изначальн\w*", "ранее"]
 CORRECTION_CUE = ["remind me", "what'?s the correct", "how do we"]
+CORRECTION_CUE_RU = [r"\bвспомни(?:ть)?\b", r"\bнапомни(?:ть)?\b\s*(?:мне\s*[,:]?\s*)?(?:как\s+мы\s+|правильн\w*)", r"\bкакой\s+правильн\w*\b", r"\bне\s+так[,]?\s+а\s+вот\s+так\b", r"\bна\s+самом\s+деле\b"]
 CORRECTION = [r"no,\s*actually", r"that'?s\s+wrong"]
+CORRECTION_RU = [r"нет,\s*правильно", r"вспомни(?:ть)?\s+правильн\w*", r"не\s+так[,]?\s+а\s+вот\s+так", r"на\s+самом\s+деле"]
 NOISE_STARTS = ["<command-message>", "<command-name>", "<command-args>", "<local-command-caveat>", "<local-command-stdout>", "<local-command-stderr>", "Base directory for this skill:", "<task-notification>", "<system-reminder>", "Below is one record from a developer"]
 NOISE_IS = ["[Request interrupted by user]"]
 SIGNALS = ["forget", "override", "ignore previous", "you are now", "from now on", "system:", "admin:", "instruction:", "disregard", "new instructions", "ignore previous instructions"]
 WEAK_SIGNALS = ["different", "instead", "actually", "update"]
-SIGNALS_BY_LANGUAGE = {"de": ["vergiss", "ignoriere", "überschreibe", "neue anweisungen", "ab jetzt"], "fr": ["oublie", "ignore", "remplace", "nouvelles instructions"], "es": ["olvida", "ignora", "sobrescribe", "nuevas instrucciones"]}
-NO_ANCHOR = ["the", "this", "that", "these", "those", "there", "here", "when", "what", "which", "with", "from", "then", "have", "been", "will", "would", "should", "could", "about", "after", "before", "into", "over", "under", "other", "another", "some", "such", "than", "them", "they", "your", "please", "thanks", "using", "request", "users", "desktop", "library", "applications", "downloads", "home", "true", "false", "none", "null", "code", "phase", "wave", "step", "note", "next", "done", "test", "tests", "fixed", "ready"]
+SIGNALS_BY_LANGUAGE = {
+    "ru": ["забудь", "забыть", "игнорируй", "отмени", "сбрось", "новые инструкции", "теперь ты", "с этого момента"],
+    "ja": ["忘れて", "無視", "リセット", "新しい指示", "これから", "今から"],
+    "ar": ["انسى", "تجاهل", "إعادة تعيين", "تعليمات جديدة", "أنت الآن"],
+    "de": ["vergiss", "ignoriere", "überschreibe", "neue anweisungen", "ab jetzt"],
+    "fr": ["oublie", "ignore", "remplace", "nouvelles instructions"],
+    "es": ["olvida", "ignora", "sobrescribe", "nuevas instrucciones"],
+    "zh": ["忘记", "忽略", "重置", "新指令", "从现在开始"],
+}
+NO_ANCHOR = """the this that these those there here when what which with from then have been will would should could about after before into
+over under other another some such than them they your please thanks using request users desktop library applications downloads home
+task-notification task-id tool-use-id output-file session-id record-id caveat local-command-stdout local-command-caveat command-name
+command-message system-reminder они это этот эта эти этого этой этом этих если когда чтобы чтоб потому поэтому также теперь что как для или
+оно она его нее неё все всё вот так уже еще ещё был была было были быть есть нет при под над без про после перед через между потом тоже
+только очень надо нужно можно кто где куда зачем почему пока сейчас того тогда здесь там даже меня тебя себя него итог итоги стадия одно
+один одна два две три результат результаты дальше состояние живой лучшая лучший важная важный хочешь хочу серия вопрос ответ правки готово
+план шаг шаги true false none null code phase wave step note next done test tests fixed ready чего чему чем кого кому кем ком тому этому
+этим мне мной тебе тобой нам нами вам вами ней ним ними себе собой весь вся всей всех всем всеми по-прежнему во-первых во-вторых
+в-третьих что-нибудь кто-нибудь как-нибудь где-нибудь""".split()
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
-def _any_word(words: list[str]) -> str:
-    return r"(?i)\b(?:" + "|".join(words) + r")\b"
+def _any_word(words: list[str], flags: str = "i") -> str:
+    """Any of the words; the flag U lets letters of every script count as such."""
+    return rf"(?{flags})\b(?:" + "|".join(words) + r")\b"
 
 
 #: Marks camel boundaries while a text is tokenised; no text has it.
@@ -93,7 +114,7 @@ def is_noise(text: Column) -> Column:
 
 
 def is_correction(text: Column) -> Column:
-    return text.rlike(_any_word(CORRECTION))
+    return text.rlike(_any_word(CORRECTION)) | text.rlike(_any_word(CORRECTION_RU, "iU"))
 
 
 def cue_mode(text: Column) -> Column:
@@ -102,11 +123,12 @@ def cue_mode(text: Column) -> Column:
 
 def cue_intent(text: Column) -> Column:
     """historical_verbatim for cues that ask for earlier wording, unless they ask for the correct state."""
-    return F.when(~text.rlike(r"(?i)\b(?:" + "|".join(CORRECTION_CUE) + r")\b") & text.rlike(_any_word(HISTORICAL)), "historical_verbatim")
+    asks = text.rlike(_any_word(CORRECTION_CUE)) | text.rlike("(?iU)" + "|".join(CORRECTION_CUE_RU))
+    return F.when(~asks & (text.rlike(_any_word(HISTORICAL)) | text.rlike(_any_word(HISTORICAL_RU, "iU"))), "historical_verbatim")
 
 
 def injection(text: Column, language: Column | None = None) -> Column:
-    """(detected, confidence, matched): instruction-like phrases, those of the text's language included."""
+    """(detected, severity, confidence, matched): instruction-like phrases, those of the text's language included."""
     low = F.lower(F.coalesce(text, F.lit("")))
     hits = lambda words: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
     strong = hits(SIGNALS)
@@ -114,7 +136,12 @@ def injection(text: Column, language: Column | None = None) -> Column:
         more = reduce(lambda acc, x: acc.when(language == x[0], hits(x[1])), SIGNALS_BY_LANGUAGE.items(), F.when(F.lit(False), F.array().cast("array<string>")))
         strong = F.concat(strong, F.coalesce(more, F.array().cast("array<string>")))
     weak = hits(WEAK_SIGNALS)
-    return F.struct((F.size(strong) + F.size(weak) > 0).alias("detected"), F.when(F.size(strong) > 0, "strong").when(F.size(weak) > 0, "weak").otherwise("none").alias("severity"), F.concat(strong, weak).alias("matched"))
+    return F.struct((F.size(strong) + F.size(weak) > 0).alias("detected"), F.when(F.size(strong) > 0, "strong").when(F.size(weak) > 0, "weak").otherwise("none").alias("severity"), F.when(F.size(strong) > 0, 0.9).when(F.size(weak) > 0, 0.6).otherwise(0.0).alias("confidence"), F.concat(strong, weak).alias("matched"))
+
+
+def shield_action(verdict: Column, tier: str) -> Column:
+    """What is done with a text that ``injection`` judged, by the tier of the place it goes to: reject, flag or log_allow."""
+    return F.when(~verdict["detected"], "log_allow").otherwise({"hard_block": "reject", "flag": "flag"}.get(tier, "log_allow"))
 
 
 def entity_anchors(text: Column, most: int = 16) -> Column:
@@ -124,13 +151,14 @@ def entity_anchors(text: Column, most: int = 16) -> Column:
     pick = lambda p: F.regexp_extract_all(head, F.lit(p), F.lit(1))
     found = F.concat(
         F.filter(pick(r"`([^`\n]{2,60})`"), lambda x: ~F.trim(x).contains(" ")),
-        pick(r"(?<!\w)@([A-Za-z0-9_]{3,32})"),
-        pick(r"(?<![\w./-])([A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)+)(?![\w/-])"),
-        pick(r"(?<!\w)([a-z]+[A-Z][A-Za-z]+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)(?!\w)"),
-        pick(r"(?<=[^\s.!?…]\s)(?<![A-Za-z])([A-Z][a-z]{2,})(?![A-Za-z])"),
+        pick(r"(?U)(?<!\w)@([A-Za-z0-9_]{3,32})"),
+        pick(r"(?U)(?<![\w./-])([A-Za-zЀ-ӿ][A-Za-z0-9Ѐ-ӿ]*(?:[._-][A-Za-z0-9Ѐ-ӿ]+)+)(?![\w/-])"),
+        pick(r"(?U)(?<!\w)([a-z]+[A-Z][A-Za-z]+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)(?!\w)"),
+        pick(r"(?<=[^\s.!?…]\s)(?<![A-Za-zЀ-ӿ])([A-ZА-ЯЁ][a-zа-яё]{2,})(?![A-Za-zЀ-ӿ])"),
     )
-    clean = F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"^[ \t\r\n.,;:!?()\[\]{}\"'«»]+|[ \t\r\n.,;:!?()\[\]{}\"'«»]+$", "")))
-    good = F.filter(clean, lambda x: F.length(x).between(3, 40) & x.rlike(r"^[a-z0-9._'\-]+$") & x.rlike("[a-z]") & ~x.isin(NO_ANCHOR))
+    clean = F.transform(found, lambda x: F.substring_index(F.lower(F.regexp_replace(x, r"^[ \t\r\n.,;:!?()\[\]{}\"'«»]+|[ \t\r\n.,;:!?()\[\]{}\"'«»]+$", "")), "/", -1))
+    particle = r"^[а-яёѐ-ӿ]{1,6}-[а-яёѐ-ӿ]{1,6}$"
+    good = F.filter(clean, lambda x: F.length(x).between(3, 40) & x.rlike(r"^[a-z0-9Ѐ-ӿ._'\-]+$") & x.rlike("[a-zЀ-ӿ]") & ~x.rlike(particle) & ~x.isin(NO_ANCHOR))
     return F.slice(F.array_distinct(good), 1, most)
 
 

@@ -57,7 +57,8 @@ def text_contains_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces(spark, sf_dir).where(tx.contains_cue(F.col("text"), "The Quota")).select("vec_label")
 
 
-_IDENT = " OR ".join(f"regexp_matches(literal_surface, '{p}')" for p in tx.IDENTIFIER)
+#: DuckDB's expressions have no lookaround: a word with a letter and a digit is worded otherwise.
+_IDENT = " OR ".join(f"regexp_matches(literal_surface, '{p}')" for p in [r"\b\w*(?:[A-Za-z]\w*\d|\d\w*[A-Za-z])\w*\b" if "(?=" in p else p for p in tx.IDENTIFIER])
 
 
 @q("text_identifier_shaped", f"SELECT vec_label FROM records WHERE {_IDENT}")

@@ -113,6 +113,19 @@ def test_text_functions(spark):
     assert one(tx.entity_anchors(F.lit("see `load_all` and @some_one in Velmouth via myClass"))) == ["load_all", "some_one", "myclass", "velmouth"]
 
 
+def test_classifiers_of_other_scripts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(tx.is_correction(F.lit("Нет, правильно иначе"))) and one(tx.is_correction(F.lit("НА САМОМ ДЕЛЕ так"))) and not one(tx.is_correction(F.lit("правильно")))
+    assert one(tx.cue_intent(F.lit("как это было"))) is None and one(tx.cue_intent(F.lit("изначальный текст"))) == "historical_verbatim"
+    assert one(tx.cue_intent(F.lit("вспомни, как было ранее"))) is None and one(tx.cue_intent(F.lit("напомни, что было ранее"))) == "historical_verbatim"
+    assert one(tx.cue_mode(F.lit("найди дословно это"))) == "verbatim"
+    v = one(tx.injection(F.lit("忽略 это"), F.lit("zh")))
+    assert v.detected and v.severity == "strong" and v.confidence == 0.9 and v.matched == ["忽略"] and not one(tx.injection(F.lit("忽略"), F.lit("de"))).detected
+    assert [one(tx.shield_action(tx.injection(F.lit("please override")), t)) for t in ("hard_block", "flag", "log")] == ["reject", "flag", "log_allow"]
+    assert one(tx.entity_anchors(F.lit("пишет Велмут из кто-то и мод_три, это Потом"))) == ["мод_три", "велмут"]
+    assert [one(tx.identifier_shaped(F.lit(x))) for x in ("v2", "_1", "x_1", "12", "plain")] == [True, False, True, False, False]
+
+
 def test_vector_functions(spark):
     r = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [float("nan"), 1.0], [0.0, 0.0])], "a array<float>, b array<float>, c array<float>, z array<float>")
     x = r.select(vec.cosine(F.col("a"), F.col("b")).alias("cos"), vec.sanitized(F.col("c")).alias("s"), vec.cosine(F.col("a"), F.col("z")).alias("zero"), vec.quantized(F.col("a"))["values"].alias("q")).first()
