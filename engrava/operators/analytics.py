@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from engrava.storage import materialize
+
 
 def follow_pairs(events: DataFrame, by: str, order: list[str], kind: str, at: str) -> DataFrame:
     """(a, b, n, n_sessions, first_at, last_at): what directly follows what within a session, with its support."""
@@ -42,9 +46,27 @@ def budget_packed(hits: DataFrame, group: str, rank: str, cost: str, budget: int
     """Hits in order of rank while their running cost fits the budget; it stops at the first that doesn't, but one
     hit is always kept, and never more than ``most``."""
     w = W.partitionBy(group).orderBy(rank)
-    run = hits.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("place", F.row_number().over(w))
+    few = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)  # cut before the sums, map-side
+    run = few.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     stop = F.min(F.when((F.col("running") > budget) & (F.col("place") > 1), F.col("place"))).over(W.partitionBy(group))
-    return run.withColumn("__stop", stop).where((F.col("__stop").isNull() | (F.col("place") < F.col("__stop"))) & (F.col("place") <= most)).drop("__stop")
+    return run.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col("place") < F.col("__stop"))).drop("__stop")
+
+
+def first_share(df: DataFrame, share: float, *order: Column) -> DataFrame:
+    """The first ceil(share * rows) rows in the given order, one at least; the order must have no ties.
+
+    Rows are sorted by ranges; only the number of rows of each range is summed up, and each range keeps what falls to it.
+    """
+    rows = df.withColumn("__n", F.lit(1)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = dict(rows.groupBy("__part").count().collect())  # a row for each range
+    left, take = max(1, math.ceil(share * sum(sizes.values()))), []
+    for part in sorted(sizes):
+        take.append((part, min(left, sizes[part])))
+        left -= take[-1][1]
+    most = df.sparkSession.createDataFrame(take or [(0, 0)], "__part int, __most long")
+    kept = rows.join(F.broadcast(most.where("__most > 0")), "__part").withColumn("__r", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    return kept.where("__r <= __most").select(*df.columns)
 
 
 def entropy(df: DataFrame, group: str, value: str) -> DataFrame:

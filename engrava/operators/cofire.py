@@ -40,8 +40,9 @@ def transcript_uses(rows: DataFrame) -> DataFrame:
     b = rows.where("trim(coalesce(sessionId, '')) <> ''").select(F.col("sessionId").alias("session"), "row_id", F.lower(F.trim("message.role")).alias("role"), F.posexplode("message.content"))
     b = b.select("session", "row_id", "pos", F.when(F.col("col.type") == "tool_result", F.from_json("col.content", HITS)["hits"]).alias("hits"), F.when((F.col("role") == "assistant") & (F.col("col.type") == "text") & (F.trim("col.text") != ""), F.col("col.text")).alias("reply"))
     few = b.where("hits IS NOT NULL OR reply IS NOT NULL")
-    w = W.partitionBy("session").orderBy("row_id", "pos").rowsBetween(1, W.unboundedFollowing)
-    return few.withColumn("next", F.first("reply", ignorenulls=True).over(w)).where("hits IS NOT NULL AND next IS NOT NULL").select("session", "row_id", used_hits(F.col("hits"), F.col("next")).alias("used"))
+    # from the end, so that the frame only grows: the last reply seen is the next one in order
+    w = W.partitionBy("session").orderBy(F.desc("row_id"), F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    return few.withColumn("next", F.last("reply", ignorenulls=True).over(w)).where("hits IS NOT NULL AND next IS NOT NULL").select("session", "row_id", used_hits(F.col("hits"), F.col("next")).alias("used"))
 
 
 def use_pairs(uses: DataFrame) -> DataFrame:

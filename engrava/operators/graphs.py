@@ -166,3 +166,8 @@ def lineage(old: DataFrame, new: DataFrame) -> DataFrame:
     """(community, ancestor, overlap): for each new community the old one it shares most nodes with."""
     n = old.toDF("node", "o").join(new.toDF("node", "n"), "node").groupBy("n", "o").agg(F.count("*").alias("c"))
     return n.groupBy(F.col("n").alias("community")).agg(F.max(F.struct("c", "o")).alias("m")).select("community", F.col("m.o").alias("ancestor"), F.col("m.c").alias("overlap"))
+
+
+def age_penalty(made: Column, now: Column, days: float = 30.0) -> Column:
+    """0 for what is new (or has no date, or one to come) up to 1 from ``days`` on."""
+    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(made)) / 86400e6 / days)), F.lit(0.0))

@@ -85,10 +85,16 @@ def bundled(df: DataFrame, group: str, hv: str, n: int = BITS) -> DataFrame:
         kind_of = None
         for b in batches:
             kind_of = b.schema.field(0).type
-            for g, w in zip(b.column(0).to_pylist(), _rows(b.column(1), words) if b.num_rows else []):
-                bits = to_bits(w[None, :], n)[0].astype(np.int64)
+            if not b.num_rows:
+                continue
+            names = b.column(0).dictionary_encode()
+            at, bits = names.indices.to_numpy(), to_bits(_rows(b.column(1), words), n)
+            order = np.argsort(at, kind="stable")
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1])
+            sums, sizes = np.add.reduceat(bits[order], starts, axis=0, dtype=np.int64), np.diff(np.append(starts, len(at)))
+            for g, k1, s1 in zip(names.dictionary.take(pa.array(at[order][starts])).to_pylist(), sizes.tolist(), sums):
                 k, s = total.get(g, (0, 0))
-                total[g] = (k + 1, s + bits)
+                total[g] = (k + k1, s + s1)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), kind_of), pa.array([k for k, _ in total.values()], pa.int64()), _lists(np.array([s for _, s in total.values()]))], names=["g", "n", "s"])
 
@@ -133,6 +139,69 @@ def orthogonalised(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - k * y)
 
 
+# ---- changes to stored vectors
+
+
+def ones(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+
+
+def filler_vector(value: str, n: int = BITS) -> list[int]:
+    return to_words(np.random.default_rng(seed_of("filler", value)).integers(0, 2, (1, n)).astype(bool))[0].tolist()
+
+
+def with_pair(hv: Column, role: str, filler: str, n: int = BITS) -> Column:
+    """A vector with a role and its filler bound in; the same pair again takes it out."""
+    pair = [a ^ b for a, b in zip(role_vector(role, n), filler_vector(filler, n))]
+    return bind(hv, F.array(*[F.lit(x) for x in pair]))
+
+
+def with_role(hv: Column, role: str, old: str, new: str, n: int = BITS) -> Column:
+    """The old filler of a role replaced by a new one."""
+    return with_pair(with_pair(hv, role, old, n), role, new, n)
+
+
+def delta_encoded(canonical: Column, variant: Column) -> Column:
+    """What a variant differs in from its canonical vector; few ones if they are alike."""
+    return bind(canonical, variant)
+
+
+def delta_decoded(canonical: Column, delta: Column) -> Column:
+    return bind(canonical, delta)
+
+
+def replayed(df: DataFrame, key: str, hv: str, sigma: float, seed: int, n: int = BITS) -> DataFrame:
+    """(key, hv): each bit flipped with probability sigma, by draws that depend on the seed and the key only."""
+    if not 0 <= sigma <= 1:
+        raise ValueError("sigma is a probability")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                flips = np.stack([np.random.default_rng([seed, seed_of("replay", str(k))]).random(n) < sigma for k in b.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(_rows(b.column(1), -(-n // 64)) ^ to_words(flips))], names=["key", "hv"])
+
+    return df.select(key, hv).mapInArrow(run, f"key {dict(df.dtypes)[key]}, hv array<long>").withColumnRenamed("key", key)
+
+
+def separated(target: np.ndarray, background: np.ndarray, most: float = 0.85, tries: int = 8) -> np.ndarray:
+    """A target of bits that is less alike than ``most`` to all of a background: by flipping 16, 32, ... bits chosen from
+    the target itself, or the best of ``tries``. An empty background leaves it as it is."""
+    alike = lambda x: float((x == background).mean(axis=1).max())
+    if not len(background) or alike(target) < most:
+        return target
+    best = target
+    for i in range(1, tries + 1):
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"separate-{i}".encode() + np.packbits(target).tobytes()).digest()[:8], "big"))
+        now = target.copy()
+        now[rng.choice(len(now), min(16 * i, len(now)), replace=False)] ^= 1
+        if alike(now) < alike(best):
+            best = now
+        if alike(now) < most:
+            break
+    return best
+
+
 # ---- phases (0..255)
 
 

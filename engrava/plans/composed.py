@@ -11,7 +11,7 @@ from engrava.operators import graphs as gr, hyper as hd, lexical as lex, ranking
 from engrava.operators.components import connected_components
 from engrava.operators.pairs import near_pairs
 from engrava.plans.general import _INSTANT
-from engrava.plans.graphed import D, _E, graph, labels, vectors
+from engrava.plans.graphed import D, _E, _G, _LAB, graph, labels, vectors
 from engrava.plans.joined import clean_edges
 from engrava.plans.registry import Queries
 from engrava.plans.retrieval import with_query
@@ -73,7 +73,10 @@ def pack_proactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.packed(r, "language", "stability", boost, "cost", served, "id", 0.6, 300).select("language", "id", "stability", "rank")
 
 
-@q("pack_marker_reclaim")
+@q("pack_marker_reclaim", """WITH r AS (SELECT language, vec_label AS rank, length(literal_surface) // 4 AS cost, embedding_pending FROM records WHERE literal_surface IS NOT NULL),
+m AS (SELECT language, rank, cost, sum(cost) OVER (PARTITION BY language ORDER BY rank) AS run FROM r WHERE embedding_pending <> 0 QUALIFY run <= 200), u AS (SELECT language, max(run) AS used FROM m GROUP BY language),
+h AS (SELECT language, rank, cost, sum(cost) OVER (PARTITION BY language ORDER BY rank) AS run FROM r WHERE embedding_pending = 0)
+SELECT h.language, rank, cost, FALSE AS marker FROM h LEFT JOIN u ON u.language = h.language WHERE run <= 800 - coalesce(used, 0) UNION ALL SELECT language, rank, cost, TRUE FROM m""")
 def pack_marker_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = load(spark, sf_dir, "records").where("literal_surface is not null").select("language", F.col("vec_label").alias("rank"), F.floor(F.length("literal_surface") / 4).alias("cost"), "embedding_pending")
     keep = ["language", "rank", "cost"]
@@ -94,7 +97,8 @@ def rank_candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.distinct()
 
 
-@q("graph_community_connected")
+@q("graph_community_connected", f"""WITH RECURSIVE k AS (SELECT l.node, l.c, r.vec_label AS x FROM {_LAB} l JOIN records r ON r.id = l.node), e AS (SELECT a.x AS u, b.x AS v FROM {_G} g JOIN k a ON a.node = g.a JOIN k b ON b.node = g.b WHERE a.c = b.c), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+w(x, far) AS (SELECT x, x FROM k UNION SELECT w.x, s.v FROM w JOIN s ON s.u = w.far), p AS (SELECT x, min(far) AS component FROM w GROUP BY x) SELECT c, count(DISTINCT component) AS n_parts, count(*) AS n FROM k JOIN p USING (x) GROUP BY c""")
 def graph_community_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c, n_parts): components inside each community, over edges between its own members."""
     l, r = labels(spark, sf_dir), load(spark, sf_dir, "records").select(F.col("id").alias("node"), "vec_label")  # noqa: E741
@@ -110,12 +114,16 @@ def graph_coverage_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("k / n >= 0.6 AND n < 1.5 * greatest(k, 1)").select("src")
 
 
-@q("hyper_orthogonalised", "SELECT vec_id, TRUE AS fine FROM embeddings")
+_DOT = "list_sum(list_transform({0}, lambda x, i: x::DOUBLE * qv[i]::DOUBLE))"
+
+
+@q("hyper_orthogonalised", f"SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: abs(x::DOUBLE - {_DOT.format('embedding')} / {_DOT.format('qv')} * qv[i]::DOUBLE))), 5) AS size, TRUE AS fine FROM embeddings, (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1)")
 def hyper_orthogonalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the absolute values of what is left, and whether it is orthogonal to the query vector."""
     from engrava.functions.vector import dot
 
-    e = with_query(load(spark, sf_dir, "embeddings"))
-    return e.select("vec_id", (F.abs(dot(hd.orthogonalised(F.transform("embedding", lambda x: x.cast("double")), F.transform("qv", lambda x: x.cast("double"))), F.col("qv"))) < 1e-6).alias("fine"))
+    e = with_query(load(spark, sf_dir, "embeddings")).withColumn("o", hd.orthogonalised(F.transform("embedding", lambda x: x.cast("double")), F.transform("qv", lambda x: x.cast("double"))))
+    return e.select("vec_id", F.round(F.aggregate("o", F.lit(0.0), lambda s, x: s + F.abs(x)), 5).alias("size"), (F.abs(dot(F.col("o"), F.col("qv"))) < 1e-6).alias("fine"))
 
 
 @q("hyper_structure_unpack")
@@ -143,7 +151,9 @@ def turns_live_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("row_id", F.lit("stored").alias("source")).union(new.select("row_id", F.lit("live"))).orderBy(F.desc("row_id")).limit(100)
 
 
-@q("merge_shared_members")
+@q("merge_shared_members", """WITH RECURSIVE t AS (SELECT DISTINCT tag, vec_label FROM record_tags JOIN records ON id = record_id WHERE tag LIKE 'topic:%'), p AS (SELECT DISTINCT a.tag AS a, b.tag AS b FROM t a JOIN t b USING (vec_label)),
+w(tag, far) AS (SELECT a, a FROM p UNION SELECT w.tag, p.b FROM w JOIN p ON p.a = w.far), l AS (SELECT tag, min(vec_label) AS least FROM t GROUP BY tag), c AS (SELECT w.tag, min(least) AS component FROM w JOIN l ON l.tag = w.far GROUP BY w.tag)
+SELECT component, count(DISTINCT vec_label) AS n FROM t JOIN c USING (tag) GROUP BY component""")
 def merge_shared_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics that share a record merge: components of the graph of records and the first record of each topic."""
     r = load(spark, sf_dir, "records").select(F.col("id").alias("record_id"), "vec_label")

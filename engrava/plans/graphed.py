@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from engrava.functions.instants import parse_instant
 from engrava.functions.vector import cosine
-from engrava.operators import graphs as gr, hyper as hd
+from engrava.operators import analytics as an, graphs as gr, hyper as hd
 from engrava.operators.components import connected_components
 from engrava.operators.pairs import hubness
 from engrava.operators.paths import Graph
-from engrava.plans.general import canonical_id
+from engrava.plans.general import _INSTANT, canonical_id
 from engrava.plans.joined import _E, clean_edges
 from engrava.plans.registry import Queries
 from engrava.storage import materialize
@@ -127,12 +128,15 @@ def graph_rich_club(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.rich_club(graph(spark, sf_dir)).select("k", "n_rich", F.round("phi", 6).alias("phi"))
 
 
-@q("graph_rich_nodes", "WITH n AS (SELECT CAST(ceil(0.1 * count(*)) AS BIGINT) AS n FROM records) SELECT vec_label FROM (SELECT vec_label, row_number() OVER (ORDER BY centrality DESC NULLS LAST, vec_label) AS r FROM records), n WHERE r <= n.n")
-def graph_rich_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import math
+_AGED = "round(centrality * (1 - CASE WHEN made IS NULL THEN 0 ELSE least(1.0, greatest(0, epoch(TIMESTAMP '2026-01-01 00:00:00') - epoch(made)) / 86400 / 30) END), 9)"
+
 
-    r = load(spark, sf_dir, "records")
-    return r.orderBy(F.desc("centrality"), "vec_label").limit(math.ceil(0.1 * r.count())).select("vec_label")
+@q("graph_rich_nodes", f"WITH r AS (SELECT vec_label, centrality, {_INSTANT.format('created_at')} AS made FROM records WHERE centrality IS NOT NULL), n AS (SELECT greatest(1, CAST(ceil(0.1 * count(*)) AS BIGINT)) AS n FROM r) SELECT vec_label FROM (SELECT vec_label, row_number() OVER (ORDER BY {_AGED} DESC, vec_label) AS k FROM r), n WHERE k <= n.n")
+def graph_rich_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenth of the nodes with the highest centrality, which fades to nothing within thirty days (as of a fixed day)."""
+    made, now = parse_instant(F.col("created_at")), F.lit("2026-01-01 00:00:00Z").cast("timestamp")
+    r = load(spark, sf_dir, "records").where("centrality is not null").select("vec_label", F.round(F.col("centrality") * (1 - gr.age_penalty(made, now)), 9).alias("aged"))
+    return an.first_share(r, 0.1, F.desc("aged"), F.asc("vec_label")).select("vec_label")
 
 
 @q("graph_small_world")
@@ -197,11 +201,29 @@ def hyper_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("key", F.size("hv").alias("n_words"), F.aggregate("hv", F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x)).alias("n_ones"))
 
 
-@q("hyper_bind_unbind", "SELECT vec_id AS key, CAST(0 AS BIGINT) AS far FROM embeddings")
+_ROLE = [hd.role_vector("subject", 64)[0] >> i & 1 for i in range(64)]
+_SIGNS = "list_transform(embedding, lambda x: CAST(x >= 0 AS INT))"
+_FLAT = "list_reduce(list_transform({0}, lambda x, i: x::HUGEINT << (i - 1)::HUGEINT), lambda a, b: a + b)"
+_WORD = "array_to_string(list_transform({0}, lambda x: x::VARCHAR), '')"
+
+
+def sign_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, hv): the signs of each embedding as one word of 64 bits, the first lowest."""
+    bit = lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long"))
+    word = F.aggregate(F.transform("embedding", bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.array(word).alias("hv"))
+
+
+def bit_text(hv):
+    return F.reverse(F.lpad(F.bin(hv[0]), 64, "0"))
+
+
+@q("hyper_bind_unbind", f"SELECT vec_id AS key, {_WORD.format(f'list_transform({_SIGNS}, lambda x, i: xor(x, {_ROLE}[i]))')} AS bound, len(list_filter({_ROLE}, lambda x: x = 1)) AS far, CAST(0 AS BIGINT) AS again FROM embeddings")
 def hyper_bind_unbind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = F.array(*[F.lit(x) for x in hd.role_vector("subject", D)])
-    v = vectors(spark, sf_dir)
-    return v.select("key", hd.hamming(hd.bind(hd.bind(F.col("hv"), role), role), F.col("hv")).alias("far"))
+    """Bound with a role: the bits, how far that is from the vector, and how far what is unbound again is from it."""
+    role = F.array(*[F.lit(x) for x in hd.role_vector("subject", 64)])
+    v = sign_words(spark, sf_dir).withColumn("b", hd.bind(F.col("hv"), role))
+    return v.select("key", bit_text(F.col("b")).alias("bound"), hd.hamming(F.col("b"), F.col("hv")).alias("far"), hd.hamming(hd.bind(F.col("b"), role), F.col("hv")).alias("again"))
 
 
 @q("hyper_bundle_recall")
@@ -211,19 +233,41 @@ def hyper_bundle_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd.cleaned_up(v.select("key", "hv"), code, D)
 
 
-@q("hyper_permute", "SELECT vec_id AS key, CAST(0 AS BIGINT) AS far FROM embeddings")
+@q("hyper_permute", f"SELECT vec_id AS key, {_WORD.format(f'list_concat({_SIGNS}[60:64], {_SIGNS}[1:59])')} AS rolled, CAST(0 AS BIGINT) AS far FROM embeddings")
 def hyper_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    back = hd.permuted(hd.permuted(v, "key", "hv", 5, D), "key", "hv", -5, D)
-    return v.join(back.withColumnRenamed("hv", "again"), "key").select("key", hd.hamming(F.col("hv"), F.col("again")).alias("far"))
+    """Rolled by five bits, and how far what is rolled back is from the vector."""
+    v = sign_words(spark, sf_dir)
+    rolled = hd.permuted(v, "key", "hv", 5, 64).withColumnRenamed("hv", "r")
+    back = hd.permuted(rolled, "key", "r", -5, 64).withColumnRenamed("hv", "again")
+    return v.join(rolled, "key").join(back, "key").select("key", bit_text(F.col("r")).alias("rolled"), hd.hamming(F.col("hv"), F.col("again")).alias("far"))
+
 
+_PH = "list_transform(embedding, lambda x: ((CAST(floor(x::DOUBLE * 512) AS INT) % 256) + 256) % 256)"
 
-@q("hyper_phases", "SELECT vec_id, TRUE AS same FROM embeddings")
+
+@q("hyper_phases", f"SELECT vec_id, CAST(list_sum(b) AS BIGINT) AS total, round(list_sum(list_transform(b, lambda x, i: cos((x - p[i]) * 2 * pi() / 256))) / 64, 6) AS similarity, TRUE AS same FROM (SELECT vec_id, p, list_transform(p, lambda x, i: (x + p[65 - i]) % 256) AS b FROM (SELECT vec_id, {_PH} AS p FROM embeddings))")
 def hyper_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.transform("embedding", lambda x: F.pmod(F.floor(x * 512).cast("int"), F.lit(256)))
-    e = load(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"))
-    key = F.reverse("p")
-    return e.select("vec_id", (hd.phase_similarity(hd.phase_unbind(hd.phase_bind(F.col("p"), key), key), F.col("p")) > 0.999999).alias("same"))
+    """Phases bound with their own reverse: their sum, how similar that is to them, and whether unbinding gives them back."""
+    p = F.transform("embedding", lambda x: F.pmod(F.floor(x.cast("double") * 512).cast("int"), F.lit(256)))
+    e = load(spark, sf_dir, "embeddings").select("vec_id", p.alias("p")).withColumn("k", F.reverse("p")).withColumn("b", hd.phase_bind(F.col("p"), F.col("k")))
+    total = F.aggregate("b", F.lit(0).cast("long"), lambda s, x: s + x)
+    return e.select("vec_id", total.alias("total"), F.round(hd.phase_similarity(F.col("b"), F.col("p")), 6).alias("similarity"), (hd.phase_unbind(F.col("b"), F.col("k")) == F.col("p")).alias("same"))
+
+
+@q("hyper_delta", f"WITH v AS (SELECT vec_id, label, {_SIGNS} AS s FROM embeddings), c AS (SELECT label, s AS c FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) SELECT vec_id AS key, {_WORD.format('list_transform(s, lambda x, i: xor(x, c[i]))')} AS delta, CAST(list_sum(list_transform(s, lambda x, i: xor(x, c[i]))) AS BIGINT) AS n_bits, CAST(0 AS BIGINT) AS far FROM v JOIN c USING (label)")
+def hyper_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as its difference from its label's first one: the bits, their number, and how far the decoded one is."""
+    v = sign_words(spark, sf_dir).join(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "label"), "key")
+    first = v.groupBy("label").agg(F.min_by("hv", "key").alias("c"))
+    d = v.join(first, "label").withColumn("d", hd.delta_encoded(F.col("c"), F.col("hv")))
+    return d.select("key", bit_text(F.col("d")).alias("delta"), hd.ones(F.col("d")).alias("n_bits"), hd.hamming(hd.delta_decoded(F.col("c"), F.col("d")), F.col("hv")).alias("far"))
+
+
+@q("hyper_replayed")
+def hyper_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 2,048 bits a replay with 5 % of noise flips."""
+    v = vectors(spark, sf_dir)
+    return hd.replayed(v, "key", "hv", 0.05, 11, D).withColumnRenamed("hv", "noisy").join(v, "key").select("key", hd.hamming(F.col("noisy"), F.col("hv")).alias("n_flipped"))
 
 
 @q("hyper_sparse_bundle")
@@ -262,12 +306,19 @@ def embedding_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q("evaluation_metrics", """WITH c AS (SELECT cue_id, split, lower(gold_literal_surface) AS g FROM recall_cues), k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, lower(text) AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT cue_id, split, min(r) AS r FROM c LEFT JOIN k ON contains(t, g) GROUP BY ALL)
 SELECT split, count(*) AS n, count(r) AS n_found, round(avg(coalesce(1.0 / r, 0)), 8)::DOUBLE AS mrr FROM h GROUP BY split""")
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cues are a fixed, small set of queries, broadcast against all documents."""
+    """The cues are the stated, small set of queries, broadcast against all documents."""
     c = load(spark, sf_dir, "recall_cues").select("cue_id", "split", F.lower("gold_literal_surface").alias("g"))
     d = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lower("text").alias("t"))
     hit = d.join(F.broadcast(c), F.col("t").contains(F.col("g"))).groupBy("cue_id").agg(F.min("doc_id").alias("doc_id"))
-    first = hit.select("doc_id").distinct()
-    before = d.select("doc_id").join(F.broadcast(first.withColumnRenamed("doc_id", "of")), F.col("doc_id") <= F.col("of")).groupBy(F.col("of").alias("doc_id")).agg(F.count("*").alias("r"))
+    # the rank of a document is how many have no greater id: counted between the ids that are asked for, one a cue at most
+    asked = sorted(r[0] for r in hit.select("doc_id").distinct().collect())
+    slot = F.size(F.filter(F.array(*[F.lit(x) for x in asked]).cast("array<long>"), lambda x: x < F.col("doc_id")))
+    counts = dict(d.select("doc_id").groupBy(slot.alias("slot")).count().collect()) if asked else {}
+    ranks, total = [], 0
+    for i, x in enumerate(asked):
+        total += counts.get(i, 0)
+        ranks.append((x, total))
+    before = spark.createDataFrame(ranks, "doc_id long, r long")
     h = c.join(hit, "cue_id", "left").join(before, "doc_id", "left")
     return h.groupBy("split").agg(F.count("*").alias("n"), F.count("r").alias("n_found"), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 8).alias("mrr"))
 

@@ -147,7 +147,7 @@ def text_tool_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(F.size("n") > 0).select("row_id", F.size("n").alias("n_tools"), F.array_join("n", ", ").alias("tools"))
 
 
-@q("text_scrub")
+@q("text_scrub", r"SELECT doc_id, regexp_replace(text, '(?im)^.*(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S{8,}).*$', '[redacted]', 'g') AS text FROM documents")
 def text_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", tx.scrub_secrets(F.col("text")).alias("text"))
 

@@ -146,6 +146,46 @@ def test_hypervector_majority_tie_and_phases(spark):
     assert one(hd.sparse_similarity(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))) == pytest.approx(1 / 3)
 
 
+def test_hypervectors_change_and_replay(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    w = hd.to_words(rng.integers(0, 2, (5, 256)).astype(bool))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "key long, hv array<long>")
+    v = df.select("key", "hv", hd.with_pair(F.col("hv"), "subject", "a", 256).alias("one"), hd.with_role(hd.with_pair(F.col("hv"), "subject", "a", 256), "subject", "a", "b", 256).alias("two"), hd.with_pair(F.col("hv"), "subject", "b", 256).alias("b"))
+    x = v.select(hd.hamming(F.col("two"), F.col("b")).alias("same"), hd.hamming(F.col("one"), F.col("b")).alias("apart"), hd.hamming(hd.with_pair(F.col("one"), "subject", "a", 256), F.col("hv")).alias("back")).first()
+    assert (x.same, x.back) == (0, 0) and x.apart > 60
+    assert {tuple(r.hv) for r in hd.replayed(df, "key", "hv", 0.0, 3, 256).collect()} == {tuple(r.hv) for r in df.collect()}
+    a, b = hd.replayed(df, "key", "hv", 0.1, 3, 256), hd.replayed(df.repartition(3), "key", "hv", 0.1, 3, 256)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    flipped = [r[0] for r in a.toDF("key", "n").join(df, "key").select(hd.hamming(F.col("n"), F.col("hv"))).collect()]
+    assert 5 <= sum(flipped) / 5 <= 50
+    t = rng.integers(0, 2, 512).astype(np.uint8)
+    assert hd.separated(t, np.empty((0, 512), np.uint8)) is t and (hd.separated(t, t[None, :], 0.97) != t).sum() == 16
+
+
+def test_first_share_is_the_first_rows(spark):
+    from engrava.operators.analytics import first_share
+
+    df = spark.range(1003).select("id", (F.col("id") * 7 % 10).alias("v"))
+    want = sorted(range(1003), key=lambda i: (-(i * 7 % 10), i))
+    for share, n in ((0.1, 101), (0.0, 1), (1.0, 1003)):
+        assert sorted(r.id for r in first_share(df, share, F.desc("v"), F.asc("id")).collect()) == sorted(want[:n])
+    assert first_share(df.limit(0), 0.1, F.desc("v"), F.asc("id")).count() == 0
+
+
+def test_uses_take_the_next_reply(spark):
+    from engrava.operators.cofire import transcript_uses, use_pairs
+
+    block = "struct<type: string, text: string, content: string>"
+    hits = '{"hits": [{"record_id": "a", "score": 1, "literal_surface": "red fox"}, {"record_id": "b", "score": 1, "literal_surface": "blue sky"}, {"record_id": "c", "score": 1, "literal_surface": "old oak"}]}'
+    rows = [(1, "s", ("user", [("tool_result", None, hits)])), (2, "s", ("assistant", [("text", " ", None), ("text", "the old oak, then a red fox", None)])), (3, "s", ("assistant", [("text", "blue sky", None)])), (4, "t", ("user", [("tool_result", None, hits)])), (5, "t", ("assistant", [("text", "old oak by a red fox", None)]))]
+    df = spark.createDataFrame(rows, f"row_id long, sessionId string, message struct<role: string, content: array<{block}>>")
+    uses = transcript_uses(df)
+    assert sorted((r.row_id, tuple(r.used)) for r in uses.collect()) == [(1, ("c", "a")), (4, ("c", "a"))]
+    assert [tuple(r) for r in use_pairs(uses).collect()] == [("c", "a", 2, 2)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<html><head><title>t</title></head><body><p>One &amp; two</p><script>x()</script><div>three</div></body></html>")
     (tmp_path / "b.csv").write_text("x,y\n1,\"2,3\"\n")
