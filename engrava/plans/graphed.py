@@ -8,6 +8,7 @@ from engrava.functions.instants import parse_instant
 from engrava.functions.vector import cosine
 from engrava.operators import analytics as an, graphs as gr, hyper as hd
 from engrava.operators.components import connected_components
+from engrava.operators.leiden import leiden
 from engrava.operators.pairs import hubness
 from engrava.operators.paths import Graph
 from engrava.plans.general import _INSTANT, canonical_id
@@ -105,6 +106,11 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.propagated_communities(graph(spark, sf_dir), rounds=4)
 
 
+@q("graph_leiden")
+def graph_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leiden(graph(spark, sf_dir))
+
+
 _LAB = "(SELECT id AS node, lower(trim(community_id)) AS c FROM records WHERE trim(coalesce(community_id, '')) <> '')"
 
 
