@@ -79,6 +79,10 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(spark, sf_dir).turns().toDF("session_id", "turn", "part", "row_id", "speaker")
 
 
+def p6_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).inferred().toDF("session_id", "row_id", "speaker")
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packing(load(spark, sf_dir, "documents"), "doc_id", "text").placed().toDF("doc_id", "part", "start_token", "n_tokens", "container_id")
 
@@ -119,7 +123,7 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.redacted(_texts(spark, sf_dir), ["src_table", "row_key", "block_no"], "text", key, dates=True)
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared, "p10_copies": p10_copies}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p6_inferred": p6_inferred, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared, "p10_copies": p10_copies}
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {

@@ -278,7 +278,38 @@ def test_conversations(spark):
     turns = c.turns().collect()
     assert sorted(r.turn for r in turns if r.session == "long") == list(range(1, 3001))
     assert [r.row for r in sorted((r for r in turns if r.session == "good"), key=lambda r: r.turn)] == [2, 3, 1]
-    assert Conversations(df.limit(0)).faults().count() == 0
+    assert Conversations(df.limit(0)).faults().count() == 0 and Conversations(df.limit(0)).turns().count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_unknown_speakers_are_inferred_where_alternation_decides(spark, partitions):
+    rng, rows, want = random.Random(2), [], {}
+    for s in range(30):
+        who = [rng.choice(["user", "assistant", "user", "assistant", "tool", None, "system"]) for _ in range(rng.randint(3, 40))]
+        spoken = [w != "system" and rng.random() < 0.9 for w in who]
+        heard = [w if p and w in ("user", "assistant") else None for w, p in zip(who, spoken)]
+        for i, (w, p) in enumerate(zip(who, spoken)):
+            rows.append((f"s{s}", len(rows), f"2025-01-01 00:{i:02d}:00", w, p, [], []))
+            before, after = next((x for x in reversed(heard[:i]) if x), None), next((x for x in heard[i + 1 :] if x), None)
+            if p and w in ("tool", None) and before and before == after:
+                want[rows[-1][1]] = "user" if before == "assistant" else "assistant"
+    df = spark.createDataFrame(rows, "session string, row long, ts string, speaker string, spoken boolean, uses array<string>, answers array<string>").withColumn("ts", F.to_timestamp("ts"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.row: r.speaker for r in Conversations(df).inferred().collect()} == want and want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_sessions_are_split_where_they_rest(spark):
+    minute = [i + (600 if i >= 700 else 0) for i in range(1000)]
+    rows = [("a", i, f"2025-01-{1 + m // 1440:02d} {m // 60 % 24:02d}:{m % 60:02d}:00", "user" if i % 2 == 0 else "assistant", True, [], []) for i, m in enumerate(minute)]
+    df = spark.createDataFrame(rows, "session string, row long, ts string, speaker string, spoken boolean, uses array<string>, answers array<string>").withColumn("ts", F.to_timestamp("ts")).repartition(6)
+    turns = sorted((r.turn, r.part, r.row) for r in Conversations(df).turns().collect())
+    assert turns == [(i + 1, 1 if i < 700 else 2, i) for i in range(1000)]
 
 
 # ---- packing
