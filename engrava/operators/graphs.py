@@ -168,6 +168,19 @@ def lineage(old: DataFrame, new: DataFrame) -> DataFrame:
     return n.groupBy(F.col("n").alias("community")).agg(F.max(F.struct("c", "o")).alias("m")).select("community", F.col("m.o").alias("ancestor"), F.col("m.c").alias("overlap"))
 
 
+def lineage_events(old: DataFrame, new: DataFrame, least: float = 0.2) -> DataFrame:
+    """(event, community, n_parts): split - an old community of which several new ones each have a share of ``least`` of
+    its members; merge - a new one in which several old ones each make up as much."""
+    k = old.toDF("node", "o").join(new.toDF("node", "n"), "node").groupBy("o", "n").agg(F.count("*").alias("k"))
+
+    def parted(side: str, event: str) -> DataFrame:
+        whole = k.groupBy(side).agg(F.sum("k").alias("whole"))
+        parts = k.join(whole, side).where(F.col("k") / F.col("whole") >= least).groupBy(side).agg(F.count("*").alias("n_parts")).where("n_parts > 1")
+        return parts.select(F.lit(event).alias("event"), F.col(side).alias("community"), "n_parts")
+
+    return parted("o", "split").union(parted("n", "merge"))
+
+
 def age_penalty(made: Column, now: Column, days: float = 30.0) -> Column:
     """0 for what is new (or has no date, or one to come) up to 1 from ``days`` on."""
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(made)) / 86400e6 / days)), F.lit(0.0))

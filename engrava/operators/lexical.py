@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from engrava.functions.text import tokens
+from engrava.functions.tokenizer import token_spans, tokenizer_path
 from engrava.storage import materialize
 
 K1, B = 1.2, 0.75
@@ -101,9 +102,8 @@ def literal_scan(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame
     return docs.where(at > 0).select(F.col(key).alias("doc"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("line_no"))
 
 
-def _chunks(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of about ``size`` words, cut back to the last sentence end in their second half."""
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
+def _chunks(text: str, spans: list[tuple[int, int]], size: int, overlap: int) -> list[str]:
+    """Windows of about ``size`` units (words, or tokens), cut back to the last sentence end in their second half."""
     out, i = [], 0
     while i < len(spans):
         window = spans[i : i + size]
@@ -121,18 +121,31 @@ def _chunks(text: str, size: int, overlap: int) -> list[str]:
     return [] if len(out) == 1 and len(out[0]) < 12 else out
 
 
-def chunked(docs: DataFrame, key: str, text: str, size: int = 190, overlap: int = 36) -> DataFrame:
-    """(key, chunk_no, chunk): sliding windows of words (190 of them are about 256 tokens) with carry-over."""
+def _word_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(r"\S+", text)]
+
 
+def _chunk_rows(docs: DataFrame, key: str, text: str, spans_of, size: int, overlap: int) -> DataFrame:
     def run(batches):
+        spans = spans_of()
         for b in batches:
-            rows = [(i, n, c) for i, t in enumerate(b.column(1).to_pylist()) if t for n, c in enumerate(_chunks(t.strip(), size, overlap))]
+            rows = [(i, n, c) for i, t in enumerate(b.column(1).to_pylist()) if t and t.strip() for n, c in enumerate(_chunks(t.strip(), spans(t.strip()), size, overlap))]
             if rows:
                 i, n, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i, pa.int64())), pa.array(n, pa.int32()), pa.array(c)], names=["key", "chunk_no", "chunk"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, chunk_no int, chunk string")
+    return docs.select(key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, chunk_no int, chunk string")
+
+
+def chunked(docs: DataFrame, key: str, text: str, size: int = 190, overlap: int = 36) -> DataFrame:
+    """(key, chunk_no, chunk): sliding windows of words (190 of them are about 256 tokens) with carry-over."""
+    return _chunk_rows(docs, key, text, lambda: _word_spans, size, overlap)
+
+
+def token_chunked(docs: DataFrame, key: str, text: str, size: int = 256, overlap: int = 48, tokenizer: str = tokenizer_path()) -> DataFrame:
+    """(key, chunk_no, chunk): sliding windows of tokens of a byte-level vocabulary, with carry-over. Null and blank texts
+    have no chunks, nor has a text of less than twelve characters."""
+    return _chunk_rows(docs, key, text, lambda: token_spans(tokenizer), size, overlap)
 
 
 def entity_shared_edges(tags: DataFrame, key: str, tag: str, low: int = 2, high: int = 8, most: int = 500) -> DataFrame:

@@ -199,6 +199,28 @@ def test_files(spark, tmp_path):
     assert sorted(r.a for r in rows.select("a").collect()) == [1, 2] and [r.line for r in lines.collect()] == ["{broken"]
 
 
+def test_token_chunks_cover_the_text_with_overlap(spark):
+    import os
+
+    from engrava.functions.tokenizer import token_spans, tokenizer_path
+
+    if not os.path.exists(tokenizer_path()):
+        pytest.skip("no vocabulary here")
+    text = " ".join(f"Sentence number {i} says naïve things, ünïcödé 漢字 too." for i in range(200))
+    spans = token_spans(tokenizer_path())(text)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "  "), (5, "just long enough")], "k int, t string")
+    got = [(r.key, r.chunk) for r in lex.token_chunked(df, "k", "t").orderBy("key", "chunk_no").collect()]
+    chunks = [c for k, c in got if k == 1]
+    assert [c for k, c in got if k != 1] == ["just long enough"] and len(chunks) > 5
+    at = 0
+    for c in chunks:
+        here = text.find(c)
+        assert 0 <= here <= at and c.endswith(".") and 100 < len(token_spans(tokenizer_path())(c)) <= 257
+        at = here + len(c)
+    assert at == len(text)
+
+
 def test_chunks_overlap_and_short_tails(spark):
     text = " ".join(f"w{i}." if i % 10 == 9 else f"w{i}" for i in range(100))
     got = [r.chunk for r in lex.chunked(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "k int, t string"), "k", "t", 30, 6).orderBy("chunk_no").collect()]
