@@ -216,7 +216,7 @@ def test_token_chunks_cover_the_text_with_overlap(spark):
     at = 0
     for c in chunks:
         here = text.find(c)
-        assert 0 <= here <= at and c.endswith(".") and 100 < len(token_spans(tokenizer_path())(c)) <= 257
+        assert 0 <= here <= at and c.endswith(".") and (c is chunks[-1] or 100 < len(token_spans(tokenizer_path())(c)) <= 257)
         at = here + len(c)
     assert at == len(text)
 
