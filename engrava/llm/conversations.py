@@ -79,7 +79,11 @@ class Conversations:
     @functools.cached_property
     def rest(self) -> float:
         """The gap, in microseconds, beyond which a session rests."""
-        return self.placed.where("gap > 0").agg(F.exp(F.avg(F.log("gap")) + 3 * F.coalesce(F.stddev_pop(F.log("gap")), F.lit(0.0)))).first()[0] or float("inf")
+        ends = self.placed.groupBy("session", "segment").agg(F.min("ts").alias("from"), F.max("ts").alias("to"))
+        over = ends.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("segment", "from", "to"))).alias("s")).where(F.size("s") > 1)  # a struct a range
+        seams = over.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i)["from"] - F.get("s", i - 1)["to"])).alias("gap"))
+        gaps = self.placed.select("gap").union(seams).where("gap > 0")
+        return gaps.agg(F.exp(F.avg(F.log("gap")) + 3 * F.coalesce(F.stddev_pop(F.log("gap")), F.lit(0.0)))).first()[0] or float("inf")
 
     def _rested(self) -> DataFrame:
         """placed with ``rests``: the number of rests so far in the session and range."""

@@ -15,7 +15,7 @@ from engrava.llm.packing import Packing
 from engrava.llm.pii import PersonalData
 from engrava.llm.similar import SimilarVectors
 from engrava.llm.spans import SharedSpans
-from engrava.plans.general import deliveries
+from engrava.plans.general import _INSTANT, deliveries
 from engrava.tables import load
 
 
@@ -126,8 +126,50 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_turns": p6_turns, "p6_inferred": p6_inferred, "p8_packed": p8_packed, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_shared": p10_shared, "p10_copies": p10_copies}
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+_NEAR = f"""WITH RECURSIVE s AS (SELECT vec_label AS id, list_distinct({_WORDS.format("literal_surface")}) AS w FROM records WHERE literal_surface IS NOT NULL), t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM s WHERE len(w) >= 14),
+p AS (SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9), u AS (SELECT x AS u, y AS v FROM p UNION SELECT y, x FROM p),
+r(node, far) AS (SELECT u, u FROM u UNION SELECT r.node, u.v FROM r JOIN u ON u.u = r.far), c AS (SELECT node, min(far) AS component FROM r GROUP BY node)"""
+_FULL = "({0} IS NOT NULL AND NOT regexp_full_match({0}, '\\s*'))"
+_TURNS = f"""WITH d AS (SELECT *, list_filter(list_transform(message.content, lambda b: b.id), lambda x: x IS NOT NULL)[1] AS mid FROM rank_reversed_planted WHERE {_FULL.format("sessionId")}),
+k AS (SELECT * FROM d QUALIFY mid IS NULL OR row_number() OVER (PARTITION BY sessionId, mid ORDER BY row_id) = 1),
+t AS (SELECT sessionId AS s, row_id, {_INSTANT.format('"timestamp"')} AS ts, lower(regexp_replace(CASE WHEN {_FULL.format("message.role")} THEN message.role ELSE coalesce(type, '') END, '^\\s+|\\s+$', '', 'g')) AS speaker, message.content AS c,
+ len(list_filter(message.content, lambda b: lower(trim(b.type)) = 'text' AND b.text IS NOT NULL AND NOT regexp_full_match(b.text, '\\s*'))) > 0 AS spoken FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts NULLS FIRST, row_id) AS pos, CASE WHEN spoken AND speaker IN ('user', 'assistant') THEN speaker END AS who FROM t),
+a AS (SELECT s, who, lead(who) OVER (PARTITION BY s ORDER BY pos) AS answer FROM n WHERE who IS NOT NULL),
+u AS (SELECT s, pos, unnest(list_transform(list_filter(c, lambda b: lower(trim(b.type)) = 'tool_use' AND b.id IS NOT NULL), lambda b: b.id)) AS tool FROM n),
+v AS (SELECT s, pos, unnest(list_transform(list_filter(c, lambda b: lower(trim(b.type)) = 'tool_result'), lambda b: b.tool_use_id)) AS tool FROM n)"""
+_UNITS = """v AS (SELECT vec_label, lower(regexp_replace(coalesce(community_id, ''), '^\\s+|\\s+$', '', 'g')) AS stored, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u
+ FROM records WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0), known AS (SELECT lower(trim(community_id)) AS stored, any_value(community_id) AS community_id FROM communities GROUP BY 1)"""
+
+
+def _assigned_sql(name: str, members: str) -> str:
+    """CTEs: the mean directions of the members (vec_label, c), and each vector with the nearest, at a cosine of 0.5 or more."""
+    return f"""{name}m AS (SELECT c, list(x ORDER BY i) AS m FROM (SELECT c, i, sum(u[i]) AS x FROM {members} JOIN v USING (vec_label), range(1, 65) r(i) GROUP BY c, i) GROUP BY c),
+{name} AS (SELECT vec_label, arg_max(c, cos) AS c FROM (SELECT vec_label, c, list_cosine_similarity(u, m) AS cos FROM v, {name}m) WHERE cos >= 0.5 GROUP BY vec_label)"""
+
+
+#: Another way to the same clusters: from the records' stored communities, which are mostly right, to their mean directions, and
+#: from the members of these to theirs.
+_CLUSTERS = f"WITH {_UNITS}, k0 AS (SELECT vec_label, stored AS c FROM v JOIN known USING (stored)), {_assigned_sql('k1', 'k0')}, {_assigned_sql('k2', 'k1')}, {_assigned_sql('k3', 'k2')}"
+_DROPPED = """SELECT s AS session_id FROM n GROUP BY s HAVING bool_or(ts IS NULL OR speaker NOT IN ('user', 'assistant', 'system')) OR count(*) FILTER (who = 'user') = 0 OR count(*) FILTER (who = 'assistant') = 0
+UNION SELECT s FROM a WHERE who = 'user' AND answer IS DISTINCT FROM 'assistant' UNION SELECT s FROM u WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.s = u.s AND v.tool = u.tool AND v.pos > u.pos) UNION SELECT s FROM v WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.s = v.s AND u.tool = v.tool AND u.pos < v.pos)"""
+_WINDOWS = "w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)), g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), e AS (SELECT w.* FROM w JOIN g USING (h))"
 SQL = {
     "p10_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 300 QUALIFY copies > 1",
+    "p2_found": f"""{_CLUSTERS}, n AS (SELECT k3.c, stored, count(*) AS n FROM k3 JOIN v USING (vec_label) JOIN known USING (stored) GROUP BY ALL), r AS (SELECT c, arg_max(stored, {{'n': n, 's': stored}}) AS fits FROM n GROUP BY c)
+SELECT vec_label, known.community_id FROM k3 JOIN v USING (vec_label) JOIN r USING (c) JOIN known ON known.stored = r.fits WHERE v.stored <> r.fits""",
+    "p3_found": f"""WITH {_UNITS}, p AS (SELECT a.vec_label AS a, b.vec_label AS b, list_dot_product(a.u, b.u) AS cos FROM v a, v b WHERE a.vec_label <> b.vec_label AND list_dot_product(a.u, b.u) >= 0.9),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) <= 5) SELECT DISTINCT least(a, b) AS vec_label_a, greatest(a, b) AS vec_label_b FROM t""",
+    "p6_inferred": f"""{_TURNS} SELECT s AS session_id, row_id, CASE before WHEN 'user' THEN 'assistant' ELSE 'user' END AS speaker FROM (SELECT *, last_value(who IGNORE NULLS) OVER (PARTITION BY s ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+ first_value(who IGNORE NULLS) OVER (PARTITION BY s ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM n) WHERE spoken AND speaker NOT IN ('user', 'assistant', 'system') AND before = after""",
+    "p4_found": f"{_NEAR} SELECT a.node AS vec_label_a, b.node AS vec_label_b FROM c a JOIN c b USING (component) WHERE a.node < b.node",
+    "p4_groups": f"{_NEAR} SELECT node AS vec_label, component AS group_id, n AS n_links FROM c JOIN (SELECT u AS node, count(*) AS n FROM u GROUP BY u) USING (node)",
+    "p6_found": f"{_TURNS} {_DROPPED}",
+    "p6_turns": f"""{_TURNS}, x AS ({_DROPPED}), h AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY s ORDER BY pos) AS gap FROM n), l AS (SELECT exp(avg(ln(gap)) + 3 * stddev_pop(ln(gap))) AS rest FROM h WHERE gap > 0)
+SELECT s AS session_id, pos AS turn, CAST(1 + count(*) FILTER (gap > rest) OVER (PARTITION BY s ORDER BY pos) AS INT) AS part, row_id, speaker FROM h, l WHERE s NOT IN (FROM x)""",
+    "p10_found": f"WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM (SELECT DISTINCT doc_id, h FROM e) a JOIN (SELECT DISTINCT doc_id, h FROM e) b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_shared": f"""WITH {_WINDOWS}, o AS (SELECT doc_id, CAST(sum(step) AS INT) AS n FROM (SELECT doc_id, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS step FROM e) GROUP BY doc_id)
+SELECT doc_id, CAST(length(text) AS INT) AS n_chars, coalesce(n, 0) AS n_shared, round(coalesce(n, 0) / length(text), 6) AS share, count(*) OVER (PARTITION BY text) AS copies FROM documents LEFT JOIN o USING (doc_id) WHERE length(text) >= 300""",
     "p9_found": f"""WITH g AS (SELECT DISTINCT cue_id, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT cue_id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT cue_id, {_WORDS.format("gold_literal_surface")} AS w FROM recall_cues WHERE split = 'holdout'))),
 d AS (SELECT doc_id, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents)))
 SELECT DISTINCT doc_id, cue_id FROM d JOIN g USING (s)""",
