@@ -44,7 +44,9 @@ def join_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(c >= 0.70).select("a", "b", F.when(c >= 0.92, "skip").otherwise("link").alias("action")).distinct()
 
 
-@q("join_near_links_whole")
+@q("join_near_links_whole", f"""WITH r AS (SELECT tier, vec_label, embedding::DOUBLE[] AS e FROM records WHERE embedding IS NOT NULL AND tier IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_label AS a, b.vec_label AS b, list_cosine_similarity(a.e, b.e) AS cos FROM r a JOIN r b ON a.tier = b.tier AND len(a.e) = len(b.e) AND a.vec_label <> b.vec_label WHERE list_cosine_similarity(a.e, b.e) >= 0.70),
+n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS r, max(cos) OVER (PARTITION BY a) AS top FROM p QUALIFY r <= 8) SELECT a, b, round(cos, 6) AS cos, CASE WHEN top >= 0.92 THEN 'skip' ELSE 'link' END AS action FROM n WHERE top < 0.92 OR r = 1""")
 def join_near_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record against all others of its tier: its 8 nearest, if none has a cosine of 0.92, are links from 0.70 on;
     else the nearest alone is what it duplicates."""

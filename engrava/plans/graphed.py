@@ -42,7 +42,7 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(numbered(spark, sf_dir), "x", "y")
 
 
-@q("graph_components_whole")
+@q("graph_components_whole", f"WITH RECURSIVE g AS {_G}, e AS (SELECT a AS u, b AS v FROM g UNION SELECT b, a FROM g), i AS (SELECT u, row_number() OVER (ORDER BY u)::INT AS k FROM (SELECT DISTINCT u FROM e)), n AS (SELECT x.k AS u, y.k AS v FROM e JOIN i x ON x.u = e.u JOIN i y ON y.u = e.v), w(node, far) AS (SELECT k, k FROM i UNION SELECT w.node, n.v FROM w JOIN n ON n.u = w.far), c AS (SELECT node, min(far) AS root FROM w GROUP BY node) SELECT x.u AS node, y.u AS component FROM c JOIN i x ON x.k = c.node JOIN i y ON y.k = c.root")
 def graph_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the same graph as graph_degrees."""
     return gr.components(graph(spark, sf_dir))
@@ -187,7 +187,7 @@ def graph_hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("vec_id").agg(F.round(F.avg("c"), 6).alias("mean_cos"), F.round(F.max("c"), 6).alias("max_cos"), (F.avg("c") > 0.85).alias("is_hub"))
 
 
-@q("graph_hubness_whole")
+@q("graph_hubness_whole", "WITH p AS (SELECT a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), m AS (SELECT label, avg(c) AS mean_cos, greatest(0, max(c)) AS max_cos FROM p GROUP BY label) SELECT label, round(mean_cos, 6) AS mean_cos, round(max_cos, 6) AS max_cos, mean_cos > 0.85 AS is_hub, count(*) AS size FROM m JOIN embeddings USING (label) GROUP BY ALL")
 def graph_hubness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each label, over all its rows."""
     h = hubness(load(spark, sf_dir, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")))
@@ -276,9 +276,12 @@ def hyper_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd.replayed(v, "key", "hv", 0.05, 11, D).withColumnRenamed("hv", "noisy").join(v, "key").select("key", hd.hamming(F.col("noisy"), F.col("hv")).alias("n_flipped"))
 
 
-@q("hyper_sparse_bundle")
+@q("hyper_sparse_bundle", """WITH t AS (SELECT label, unnest(list_transform(list_sort(list_transform(list_filter(list_zip(embedding, range(64)), lambda z: z[1] > 0), lambda z: {'v': -z[1], 'i': z[2]}))[1:20], lambda s: s.i)) AS i FROM embeddings),
+c AS (SELECT label, i FROM t GROUP BY label, i QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, i) <= 20) SELECT label, string_agg(i::VARCHAR, ' ' ORDER BY i) AS indices FROM c GROUP BY label""")
 def hyper_sparse_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = F.slice(F.array_sort(F.transform(F.filter(F.transform("embedding", lambda x, i: F.struct((-x).alias("v"), i.alias("i"))), lambda s: s["v"] < 0), lambda s: s["i"])), 1, 20)
+    """Of the indices of each vector's twenty greatest positive values, the twenty most frequent of each label."""
+    ranked = F.array_sort(F.filter(F.transform("embedding", lambda x, i: F.struct((-x).alias("v"), i.alias("i"))), lambda s: s["v"] < 0))
+    top = F.transform(F.slice(ranked, 1, 20), lambda s: s["i"])
     return hd.sparse_bundled(load(spark, sf_dir, "embeddings").select("label", top.alias("ix")), "label", "ix").select("label", F.array_join("indices", " ").alias("indices"))
 
 

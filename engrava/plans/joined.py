@@ -107,7 +107,7 @@ def join_similar_opposites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
 
 
-@q("join_similar_opposites_whole")
+@q("join_similar_opposites_whole", "SELECT a.vec_id::BIGINT AS a, b.vec_id::BIGINT AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.97")
 def join_similar_opposites_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of different label and a cosine of at least 0.97."""
     e = load(spark, sf_dir, "embeddings")
