@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from engrava.operators.components import connected_components
@@ -39,11 +41,11 @@ def clustering(g: DataFrame) -> DataFrame:
     return degrees(g).join(triangles(g), "node", "left").select("node", "degree", c.alias("c"))
 
 
-def distances(g: DataFrame, sources: DataFrame, most: int = 40) -> DataFrame:
-    """(source, node, d): breadth-first from every source, a join per level."""
+def distances(g: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, d): breadth-first from every source, a join per level, to exhaustion or up to a distance of ``most``."""
     e = materialize(arcs(g), "arcs")
     seen = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("d")), "bfs")
-    for level in range(1, most + 1):
+    for level in range(1, most + 1) if most is not None else itertools.count(1):
         step = seen.where(F.col("d") == level - 1).join(e.withColumnRenamed("u", "node"), "node").select("source", F.col("v").alias("node")).distinct()
         new = materialize(step.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(level)).select("source", "node", "d"), "bfs")
         if not new.limit(1).count():

@@ -118,10 +118,13 @@ def join_similar_opposites_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("join_band", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
 def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one user within an hour after another; the user is the equi-key, the band a filter on it."""
+    """Events of one user within an hour after another. The equi-key is the user and the hour: a later event is sent under
+    its own hour and the one before, so a user of many events is many keys."""
     e = load(spark, sf_dir, "events")
-    a, b = e.select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta")), e.select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"))
-    return a.join(b, "user_id").where("tb > ta AND tb <= ta + INTERVAL 1 HOUR").select("a", "b")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    a = e.select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta"), hour.alias("h"))
+    b = e.select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"), F.explode(F.array(hour, hour - 1)).alias("h"))
+    return a.join(b, ["user_id", "h"]).where("tb > ta AND tb <= ta + INTERVAL 1 HOUR").select("a", "b")
 
 
 QUERIES, SQL = q.queries, q.sql
