@@ -10,10 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,11 +49,24 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/engrava/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._engrava_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are removed at the end: for work whose result the driver has by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what ``materialize`` wrote; only for tables that no later plan reads."""
     path = getattr(df, "_engrava_path", None)

@@ -164,6 +164,19 @@ def test_hypervectors_change_and_replay(spark):
     assert hd.separated(t, np.empty((0, 512), np.uint8)) is t and (hd.separated(t, t[None, :], 0.97) != t).sum() == 16
 
 
+def test_scratch_tables_go_at_the_end(spark):
+    import os
+
+    from engrava.storage import materialize, scratch
+
+    with scratch(spark):
+        t = materialize(spark.range(5))
+        assert t.count() == 5 and os.path.isdir(t._engrava_path)
+    assert not os.path.exists(t._engrava_path)
+    kept = materialize(spark.range(5))
+    assert os.path.isdir(kept._engrava_path)
+
+
 def test_first_share_is_the_first_rows(spark):
     from engrava.operators.analytics import first_share
 
