@@ -27,10 +27,14 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
+    """The vocabulary at the path; on an executor that doesn't have it there, the copy that the driver sent."""
     if path not in _encoders:
         import tiktoken
+        from pyspark import SparkFiles
 
-        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+        where = path if Path(path).exists() else SparkFiles.get(Path(path).name)
+
+        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in Path(where).read_bytes().splitlines() if line)}
         _encoders[path] = tiktoken.Encoding(re.sub(r"\W", "_", path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
@@ -147,6 +151,7 @@ class Packing:
     def __init__(self, table: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, rounds: int = ROUNDS):
         self.capacity = capacity
         kind = dict(table.dtypes)[key]
+        table.sparkSession.sparkContext.addFile(tokenizer)
         sizes = table.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _sizes(it, tokenizer), f"id {kind}, n int")
         parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))
         items = sizes.select("id", "n", F.explode(parts).alias("part")).select("id", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).alias("n"))
