@@ -1,4 +1,4 @@
-"""Clusters of mutually similar records: MinHash bands, exact Jaccard, components, medoids - then mean directions."""
+"""Clusters of mutually similar records: sign sets, exact Jaccard of all pairs, components, medoids - then mean directions."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engrava.llm.kit import batch_of, deal, hot_blocks, mix, spread, vectors
 from engrava.llm.similar import _near_codes, unit, usable
-from engrava.operators.components import connected_components
+from engrava.operators.components import connected_components, forest
 from engrava.operators.skew import lookup_join
 from engrava.storage import discard, materialize, scratch
 
@@ -28,6 +28,12 @@ LINK = 0.62
 LOOSE = 0.41
 #: Entries of a bucket from which they are dealt to pairs of blocks; one id in PROBE is looked at to find such buckets.
 BLOCK, PROBE = 4_000, 32
+#: Bits in which two codes differ at a Jaccard of LINK.
+MOST = math.floor(PLANES * (1 - LINK) / (1 + LINK) + 1e-9)
+#: All pairs: the table is dealt to at most SIDES blocks of FEWEST rows or more, or to more so that none has many over
+#: LARGEST rows; codes compared at once; and links handed on together.
+SIDES, FEWEST, LARGEST = 11, 4_096, 1 << 20
+TALL, WIDE, HANDED = 16, 4_096, 1 << 16
 #: Groups that the driver looks at together for the directions of clusters, and groups summed up in a task at once.
 HEADS, HELD = 256, 20_000
 
@@ -96,12 +102,94 @@ def jaccard(apart):
     return (PLANES - apart) / (PLANES + apart)
 
 
+def _hits(code: list[np.ndarray], cut: int):
+    """Index pairs of codes (their four words) that differ in at most MOST bits, about HANDED at a time: of rows before
+    ``cut`` with rows from it on; all pairs i < j if cut is 0."""
+    n, held, have = len(code[0]), [], 0
+    x, d, e = np.empty(TALL * WIDE, np.uint64), np.empty(TALL * WIDE, np.uint8), np.empty(TALL * WIDE, np.uint8)
+    for i in range(0, cut or n, TALL):
+        tall = min(TALL, (cut or n) - i)
+        for j in range(cut or i, n, WIDE):
+            wide = min(WIDE, n - j)
+            xs, ds, es = (buffer[: tall * wide].reshape(tall, wide) for buffer in (x, d, e))
+            for w in range(3):  # 192 bits: the sum fits its byte
+                np.bitwise_xor(code[w][i : i + tall, None], code[w][None, j : j + wide], out=xs)
+                np.bitwise_count(xs, out=es if w else ds)
+                if w:
+                    np.add(ds, es, out=ds)
+            at = np.flatnonzero(ds.ravel() <= MOST)  # nearly all pairs end here
+            a, b = i + at // wide, j + at % wide
+            ok = d[at].astype(np.int16) + np.bitwise_count(code[3][a] ^ code[3][b]) <= MOST
+            if not cut:
+                ok &= a < b
+            held.append((a[ok], b[ok]))
+            have += len(held[-1][0])
+            if have >= HANDED:
+                yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+                held, have = [], 0
+    if have:
+        yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+
+
+def _met(t: pa.Table):
+    """(rows in order of block, their ids, links as index pairs) of a table (p, q, side, id, c0..c3, ...) of two blocks."""
+    t = t.combine_chunks()
+    p, q, side = t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("side").to_numpy()
+    order = np.argsort(side, kind="stable")
+    ids = t.column("id").to_numpy()[order]
+    code = [np.ascontiguousarray(t.column(f"c{w}").to_numpy()[order]).view(np.uint64) for w in range(4)]
+    cut = 0 if p == q else int((side == p).sum())
+    links = _hits(code, cut) if p == q or 0 < cut < len(ids) else iter(())
+    return order, ids, ((i[other], j[other]) for i, j in links for other in [ids[i] != ids[j]])
+
+
+def _listed(t: pa.Table) -> pa.Table:
+    """(a, b) of every link."""
+    _, ids, links = _met(t)
+    found = [(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])) for i, j in links]
+    a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return pa.table({"a": a, "b": b})
+
+
+def _stars(t: pa.Table) -> pa.Table:
+    """(id, root, n) of every id that has links here: how many, and an id that they join it to, one of all it is joined to."""
+    _, ids, links = _met(t)
+    n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i, j in links:
+        n += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        apart = root[i] != root[j]
+        if apart.any():
+            nodes, low = forest(root[i[apart]], root[j[apart]])
+            to = np.arange(len(ids))
+            to[nodes] = low
+            root = to[root]
+    has = np.flatnonzero(n)
+    return pa.table({"id": ids[has], "root": ids[root[has]], "n": n[has]})
+
+
+def _highest(t: pa.Table) -> pa.Table:
+    """(id, of_other, other) of every id that has links here: the one of highest degree that it is linked to, of equal ones
+    the smallest, and that degree."""
+    order, ids, links = _met(t)
+    degree = t.column("degree").to_numpy()[order]
+    ranked = np.lexsort((-ids, degree))
+    rank, best = np.empty(len(ids), np.int64), np.full(len(ids), -1)
+    rank[ranked] = np.arange(len(ids))
+    for i, j in links:
+        np.maximum.at(best, i, rank[j])
+        np.maximum.at(best, j, rank[i])
+    has = np.flatnonzero(best >= 0)
+    top = ranked[best[has]]
+    return pa.table({"id": ids[has], "of_other": degree[top], "other": ids[top]})
+
+
 class MinHashClusters:
     """``wanted`` clusters of vectors by direction.
 
-    1. Each vector is a set of 256 sign tokens; all pairs of ids in a bucket of one of 8 MinHash bands are candidates.
-       A bucket of many entries is dealt to pairs of blocks.
-    2. Candidates are verified by the exact Jaccard of their sets, ``LINK`` at least; links form connected components.
+    1. Each vector is a set of 256 sign tokens. Two are linked if the exact Jaccard of their sets is ``LINK`` at least. All
+       pairs are compared, so no link is missed, and time grows with the square of the rows: rows are dealt to blocks, and
+       each pair of blocks is a task. Its links are summed up there and never listed.
+    2. Links form connected components.
     3. A component is loose where a member is too far from its medoid, the id of highest degree. A loose one is split
        around its medoids - ids that are linked to none of higher degree: each id follows its links to ever higher
        degrees (equal ones: to the smaller id) until it ends at one. Ids too far from where they end are split again
@@ -111,9 +199,10 @@ class MinHashClusters:
        cluster's mean direction is that of the members of its groups. Each record, in a group or not, belongs to the
        nearest mean direction by cosine, ``belongs`` at least.
 
-    No link, component or group is left out for its size; the driver sees the founding groups, HEADS at a time, and one
+    No link, component or group is left out; the driver sees the founding groups, HEADS at a time, and one
     mean direction a cluster. Only usable vectors count (``width`` finite values, not all zero); others are in no cluster.
-    Null ids take no part. Equal vectors share all buckets. Fewer groups than wanted: fewer clusters. Empty table: none.
+    Null ids take no part; an id is expected once. ``links`` are those that 8 MinHash bands find, a part of
+    ``links_whole``; the clusters don't rest on them. Fewer groups than wanted: fewer clusters. Empty table: none.
     """
 
     def __init__(self, table: DataFrame, key: str, vector: str, wanted: int, width: int = 64, belongs: float = 0.5, seed: int = 17, extra: list[str] | None = None, block: int = BLOCK):
@@ -121,46 +210,62 @@ class MinHashClusters:
         self.rows = table.where(F.col(key).isNotNull() & usable(vector, width)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), *(extra or []))
         self.spark = table.sparkSession
 
-    def links(self) -> DataFrame:
-        """(a, b), a < b: pairs that share a bucket and are similar enough."""
+    def _coded(self) -> None:
         width, seed = self.width, self.seed
         self.codes = materialize(self.rows.select("id", "v").mapInArrow(lambda it: _codes(it, width, seed), "id long, c0 long, c1 long, c2 long, c3 long"), "codes")
-        n = self.codes.count()
+
+    def _compared(self, nodes: DataFrame, read, schema: str) -> DataFrame:
+        """What ``read`` makes of the links between nodes (id, c0..c3, more), a table of two blocks at a time."""
+        n = nodes.count()
+        blocks = max(1, min(SIDES, n // FEWEST), -(-n // LARGEST))
+        r = nodes.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return r.select(F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "side", *nodes.columns).groupBy("p", "q").applyInArrow(read, schema)
+
+    def links_whole(self) -> DataFrame:
+        """(a, b), a < b: all pairs that are similar enough."""
+        self._coded()
+        return self._compared(self.codes, _listed, "a long, b long").distinct()
+
+    def links(self) -> DataFrame:
+        """(a, b), a < b: pairs that share a bucket and are similar enough: a part of ``links_whole``."""
+        self._coded()
+        seed, n = self.seed, self.codes.count()
         each = band_rows(n)
         schema = "key long, tail int, id long, side byte, c0 long, c1 long, c2 long, c3 long"
         probe = self.codes.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).mapInArrow(lambda it: _buckets(it, seed, each, {}), schema)
         hot = hot_blocks(probe, PROBE, self.block)
-        most = math.floor(PLANES * (1 - LINK) / (1 + LINK) + 1e-9)  # bits apart at a Jaccard of LINK
         index = self.codes.mapInArrow(lambda it: _buckets(it, seed, each, hot), schema)
-        return spread(index, n * BANDS).sortWithinPartitions("key").mapInArrow(lambda it: _near_codes(it, most, 64, []), "a long, b long").distinct()
+        return spread(index, n * BANDS).sortWithinPartitions("key").mapInArrow(lambda it: _near_codes(it, MOST, 64, []), "a long, b long").distinct()
 
     def groups(self) -> DataFrame:
         """(id, grp): the components of every linked id, loose ones split around medoids."""
-        links = materialize(self.links(), "links")
-        both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-        comp = connected_components(links, "a", "b").toDF("id", "comp")
-        degree = both.groupBy("id").agg(F.count("*").alias("degree"))
+        self._coded()
+        stars = materialize(self._compared(self.codes, _stars, "id long, root long, n long"), "stars")
+        comp = connected_components(stars, "id", "root").toDF("id", "comp")
+        degree = stars.groupBy("id").agg(F.sum("n").alias("degree"))
         ranked = materialize(comp.join(degree, "id").join(self.codes, "id"), "ranked")
         medoid = ranked.groupBy("comp").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"), "c0", "c1", "c2", "c3")).alias("m")).select("comp", *[F.col(f"m.c{i}").alias(f"m{i}") for i in range(4)])
         loose = lookup_join(ranked, medoid, ["comp"], "inner").where(jaccard(_apart("c", "m")) < LOOSE).select("comp").distinct().withColumn("loose", F.lit(True))
         placed = materialize(lookup_join(ranked.select("id", "comp", "degree"), loose, ["comp"], "left"), "placed")
-        done, todo = [placed.where("loose is null").select("id", F.col("comp").alias("grp"))], placed.where("loose").select("id")
+        done, todo = [placed.where("loose is null").select("id", F.col("comp").alias("grp"))], placed.where("loose").select("id", "degree")
         while todo.limit(1).count():
-            links = lookup_join(lookup_join(links, todo.toDF("a"), ["a"], "inner"), todo.toDF("b"), ["b"], "inner")
-            links = materialize(links, "links")
-            top = lookup_join(self._tops(todo, links).join(self.codes, "id"), self.codes.toDF("grp", "m0", "m1", "m2", "m3"), ["grp"], "inner")
+            if "degree" not in todo.columns:
+                nodes = materialize(todo.join(self.codes, "id"), "nodes")
+                degree = self._compared(nodes, _stars, "id long, root long, n long").groupBy("id").agg(F.sum("n").alias("degree"))
+                todo = materialize(todo.join(degree, "id", "left"), "todo")
+            top = lookup_join(self._tops(todo).join(self.codes, "id"), self.codes.toDF("grp", "m0", "m1", "m2", "m3"), ["grp"], "inner")
             judged = materialize(top.select("id", "grp", (jaccard(_apart("c", "m")) >= LOOSE).alias("fits")), "judged")
             done.append(judged.where("fits").select("id", "grp"))
             todo = judged.where("not fits").select("id")
         return reduce(DataFrame.union, done)
 
-    def _tops(self, ids: DataFrame, links: DataFrame) -> DataFrame:
-        """(id, grp): the medoid at which each id ends that follows its links to ever higher degrees; itself if it has none."""
-        both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-        degree = materialize(both.groupBy("id").agg(F.count("*").alias("degree")), "degree")
-        above = lookup_join(both, degree.toDF("other", "of_other"), ["other"], "inner").groupBy("id").agg(F.max(F.struct("of_other", (-F.col("other")).alias("i"))).alias("m"))
+    def _tops(self, ids: DataFrame) -> DataFrame:
+        """(id, grp): the medoid at which each of ids (id, degree among them) ends that follows its links to ever higher
+        degrees; itself if it has none."""
+        nodes = materialize(ids.where("degree is not null").join(self.codes, "id").select("id", "c0", "c1", "c2", "c3", "degree"), "nodes")
+        above = self._compared(nodes, _highest, "id long, of_other long, other long").groupBy("id").agg(F.max(F.struct("of_other", (-F.col("other")).alias("i"))).alias("m"))
         higher = F.struct(F.col("m.of_other"), F.col("m.i")) > F.struct(F.col("degree"), -F.col("id"))
-        up = materialize(ids.join(degree, "id", "left").join(above, "id", "left").select("id", F.when(higher, -F.col("m.i")).otherwise(F.col("id")).alias("up")), "up")
+        up = materialize(ids.join(above, "id", "left").select("id", F.when(higher, -F.col("m.i")).otherwise(F.col("id")).alias("up")), "up")
         while True:
             further = materialize(lookup_join(up, up.toDF("up", "next"), ["up"], "inner").select("id", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
             discard(up)

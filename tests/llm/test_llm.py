@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from engrava.llm.clusters import LINK, MinHashClusters, _band_tokens, _planes, band_rows
+from engrava.llm.clusters import LINK, LOOSE, MinHashClusters, _band_tokens, _planes, band_rows
 from engrava.llm.conversations import Conversations
 from engrava.llm.leaks import leaked
 from engrava.llm.near import NearTexts, _chains, _segments, budget, rings
@@ -221,6 +221,35 @@ def test_cluster_links_are_all_pairs_of_a_bucket_that_are_similar(spark, monkeyp
     assert got == set(zip(a.tolist(), b.tolist())) and len(got) > 5_000
 
 
+@pytest.mark.parametrize("fewest", [4096, 150])
+def test_cluster_links_are_all_pairs_that_are_similar(spark, monkeypatch, fewest):
+    """Pairs about LINK, some of which share no bucket; opposite vectors differ in all 256 bits."""
+    import engrava.llm.clusters as clusters
+
+    monkeypatch.setattr(clusters, "FEWEST", fewest)
+    rng = np.random.default_rng(8)
+    one, other = rng.standard_normal((2, 700, 64))
+    other -= one * ((other * one).sum(axis=1) / (one * one).sum(axis=1))[:, None]
+    one, other = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (one, other))
+    crowd = rng.standard_normal(64) + rng.standard_normal((120, 64)) * 0.6
+    x = np.concatenate([one, one * np.cos(0.72) + other * np.sin(0.72), crowd, -crowd[:20]]).astype(np.float32).astype(float)
+    bits = x / np.linalg.norm(x, axis=1, keepdims=True) @ _planes(64, 17) >= 0
+    shared = (bits[:, None, :] == bits[None, :, :]).sum(axis=2)
+    similar = np.triu(shared / (512 - shared) >= LINK, 1)
+    want = set(zip(*(z.tolist() for z in np.nonzero(similar)), strict=True))
+    keys = _band_tokens(bits, 18, band_rows(len(x)))
+    assert len(want) > 500 and not (keys[:, None, :] == keys[None, :, :]).any(axis=2)[similar].all()
+    c = MinHashClusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 5)
+    assert {r.id for r in c.groups().select("id").collect()} == {i for pair in want for i in pair}
+    assert [tuple(r) for r in c.links_whole().orderBy("a", "b").collect()] == sorted(want)
+    degree = (similar | similar.T).sum(axis=1)
+    got = c._compared(c.codes, clusters._stars, "id long, root long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    assert {r.id: r.n for r in got} == {i: n for i, n in enumerate(degree.tolist()) if n}
+    nodes = c.codes.join(spark.createDataFrame(list(enumerate(degree.tolist())), "id long, degree long"), "id")
+    top = c._compared(nodes, clusters._highest, "id long, of_other long, other long").groupBy("id").agg(F.max(F.struct("of_other", (-F.col("other")).alias("i"))).alias("m")).collect()
+    assert {r.id: tuple(r.m) for r in top} == {i: max((degree[j], -j) for j in np.flatnonzero(similar[i] | similar[:, i]).tolist()) for i in range(len(x)) if degree[i]}
+
+
 def test_loose_components_are_split_around_medoids(spark):
     """A bridge of vectors turned step by step from one direction to another joins two clusters to one component."""
     rng = np.random.default_rng(6)
@@ -238,6 +267,30 @@ def test_loose_components_are_split_around_medoids(spark):
     assert len(MinHashClusters(table, "id", "v", 9).directions()) == 2  # no more than there are
 
 
+def test_groups_are_those_of_all_links(spark):
+    """An arc that grows denser towards one end: its ids climb there, are too far from it, and are split again."""
+    rng = np.random.default_rng(9)
+    axes = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    turn = np.radians(170 * np.sqrt(rng.random(260)))[:, None]
+    x = (np.cos(turn) * axes[0] + np.sin(turn) * axes[1] + rng.standard_normal((260, 64)) * 0.04).astype(np.float32).astype(float)
+    bits = x / np.linalg.norm(x, axis=1, keepdims=True) @ _planes(64, 17) >= 0
+    shared = (bits[:, None, :] == bits[None, :, :]).sum(axis=2)
+    near = shared / (512 - shared)
+    linked = (near >= LINK) & ~np.eye(len(x), dtype=bool)
+    want, todo, rounds = {}, list(range(len(x))), 0
+    while todo:
+        rounds += 1
+        degree = {i: (linked[i, todo].sum(), -i) for i in todo}
+        up = {i: max([degree[j] for j in todo if linked[i, j]] + [degree[i]])[1] * -1 for i in todo}
+        for _ in todo:
+            up = {i: up[up[i]] for i in todo}
+        want |= {i: up[i] for i in todo if near[i, up[i]] >= LOOSE}
+        todo = [i for i in todo if near[i, up[i]] < LOOSE]
+    c = MinHashClusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 2)
+    assert len({r.component for r in connected_components(c.links_whole(), "a", "b").collect()}) == 1 and rounds > 1
+    assert {r.id: r.grp for r in c.groups().collect()} == want
+
+
 def test_clusters_of_an_empty_table(spark):
     c = MinHashClusters(spark.createDataFrame([], "id long, v array<float>"), "id", "v", 3)
     assert c.assigned().count() == 0
