@@ -31,9 +31,12 @@ BLOCK, PROBE = 4_000, 32
 #: Bits in which two codes differ at a Jaccard of LINK.
 MOST = math.floor(PLANES * (1 - LINK) / (1 + LINK) + 1e-9)
 #: All pairs: the table is dealt to at most SIDES blocks of FEWEST rows or more, or to more so that none has many over
-#: LARGEST rows; codes compared at once; and links handed on together.
+#: LARGEST rows; codes compared at once (TILE pairs, about, where few columns are left); and links handed on together.
 SIDES, FEWEST, LARGEST = 11, 4_096, 1 << 20
-TALL, WIDE, HANDED = 16, 4_096, 1 << 16
+TALL, WIDE, TILE, HANDED, BUFFER = 16, 4_096, 1 << 14, 1 << 16, 256
+#: Groups that codes are told apart by, at most; bits from all other centres from which a code founds one; codes looked at
+#: and rounds to find them; and codes whose pairs are tried, of which less than a share must be left for groups to be used.
+GROUPS, FAR, FITTED, ROUNDS, TRIED, WORTH = 64, 110, 2_048, 2, 256, 0.3
 #: Groups that the driver looks at together for the directions of clusters, and groups summed up in a task at once.
 HEADS, HELD = 256, 20_000
 
@@ -102,31 +105,120 @@ def jaccard(apart):
     return (PLANES - apart) / (PLANES + apart)
 
 
+def _rows(code: list[np.ndarray], at) -> np.ndarray:
+    """Codes at indices or a slice, a row of four words each."""
+    return np.stack([w[at] for w in code], axis=1)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each code of a (rows of four words) differs from each of b."""
+    return sum(np.bitwise_count(a[:, w, None] ^ b[None, :, w]).astype(np.int16) for w in range(4))
+
+
+def _majority(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+
+
+def _pivots(code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, pivots) from a sample of the codes: majority codes of groups, and of each two groups g, h a code that is
+    near to those of g and far from those of h; that of h, g is its complement. One group if they would rule out too little."""
+    n = len(code[0])
+    s = _rows(code, slice(None, None, max(1, n // FITTED)))
+    at, far = [0], _differ(s, s[:1])[:, 0]
+    while len(at) < min(GROUPS, math.isqrt(n) // 4) and far.max() > FAR:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, _differ(s, s[at[-1:]])[:, 0])
+    centres, k = s[at], len(at)
+    bits = np.unpackbits(s.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    for _ in range(ROUNDS):
+        member = (_differ(s, centres).argmin(axis=1) == np.arange(k)[:, None]).astype(np.float32)
+        mean = member @ bits / np.maximum(member.sum(axis=1), 1)[:, None]
+        centres = _majority(mean >= 0.5)
+    g, h = np.triu_indices(k, 1)
+    pivots = np.zeros((k, k, 4), np.uint64)
+    pivots[g, h] = _majority(mean[g] > mean[h])
+    pivots[h, g] = ~pivots[g, h]
+    few = s[:: max(1, len(s) // TRIED)]
+    own = _differ(few, centres).argmin(axis=1)
+    x = np.bitwise_count(pivots[own] ^ few[:, None]).sum(axis=2, dtype=np.int16)[:, own]
+    worth = ((own[:, None] == own) | (x + x.T >= PLANES - MOST)).mean() < WORTH
+    return (centres, pivots) if worth else (centres[:1], pivots[:1, :1])
+
+
+def _meeting(code: list[np.ndarray], cut: int):
+    """(rows, columns, upto), together all pairs that ``_hits`` asks for but those that a pivot tells apart: the i-th row is
+    to be compared with the columns before upto[i], which never rises, or with all if upto is None. Where rows are the
+    columns, each pair counts once.
+
+    Codes that differ in at most MOST bits differ from any third code in numbers of bits that are at most MOST apart. So
+    x of group g and y of group h can be a pair only if x's bits from the pivot of g, h and y's from its complement are
+    together PLANES - MOST or more. Whatever the groups and pivots are, no pair is lost."""
+    centres, pivots = _pivots(code)
+    near = np.concatenate([_differ(_rows(code, slice(i, i + WIDE)), centres).argmin(axis=1) for i in range(0, len(code[0]), WIDE)])
+    groups, need = range(len(centres)), PLANES - MOST
+    above = [np.flatnonzero(near[: cut or len(near)] == g) for g in groups]
+    below = [cut + np.flatnonzero(near[cut:] == g) for g in groups] if cut else above
+    for g in groups:
+        for h in groups if cut else groups[g:]:
+            rows, columns = above[g], below[h]
+            if not len(rows) or not len(columns):
+                continue
+            if g == h:
+                yield rows, columns, None
+                continue
+            x, y = _differ(_rows(code, rows), pivots[g, h, None])[:, 0], _differ(_rows(code, columns), pivots[h, g, None])[:, 0]
+            i, j = np.flatnonzero(x >= need - y.max()), np.flatnonzero(y >= need - x.max())
+            if len(i):
+                i, j = i[np.argsort(-x[i], kind="stable")], j[np.argsort(-y[j], kind="stable")]
+                yield rows[i], columns[j], np.searchsorted(-y[j], x[i] - need, "right")
+
+
+def _close(x: list[np.ndarray], y: list[np.ndarray], room: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of codes of x and of y (their four words) that differ in at most MOST bits; room: buffers for all pairs."""
+    tall, wide = len(x[0]), len(y[0])
+    if tall > wide:  # long rows are faster
+        return _close(y, x, room)[::-1]
+    n = tall * wide
+    xs, ds, es = (buffer[:n].reshape(tall, wide) for buffer in room[:3])
+    before = np.setbufsize(BUFFER)  # at the usual size rows shorter than it are copied first
+    for w in range(4):
+        np.bitwise_xor(x[w][:, None], y[w][None, :], out=xs)
+        np.bitwise_count(xs, out=es if w else ds)
+        if w:
+            np.add(ds, es, out=ds)
+    np.setbufsize(before)
+    ok = room[3][: -(-n // 8) * 8]
+    np.less_equal(room[1][:n], MOST, out=ok[:n])
+    ok[n:] = False
+    eight = np.flatnonzero(ok.view(np.uint64))  # nearly all pairs end here
+    at = (eight[:, None] * 8 + np.arange(8))[ok.reshape(-1, 8)[eight]]
+    i, j = at // wide, at % wide
+    real = np.bitwise_count(x[0][i] ^ y[0][j]) <= MOST  # 256 bits are 0 in a byte
+    return i[real], j[real]
+
+
 def _hits(code: list[np.ndarray], cut: int):
     """Index pairs of codes (their four words) that differ in at most MOST bits, about HANDED at a time: of rows before
-    ``cut`` with rows from it on; all pairs i < j if cut is 0."""
-    n, held, have = len(code[0]), [], 0
-    x, d, e = np.empty(TALL * WIDE, np.uint64), np.empty(TALL * WIDE, np.uint8), np.empty(TALL * WIDE, np.uint8)
-    for i in range(0, cut or n, TALL):
-        tall = min(TALL, (cut or n) - i)
-        for j in range(cut or i, n, WIDE):
-            wide = min(WIDE, n - j)
-            xs, ds, es = (buffer[: tall * wide].reshape(tall, wide) for buffer in (x, d, e))
-            for w in range(3):  # 192 bits: the sum fits its byte
-                np.bitwise_xor(code[w][i : i + tall, None], code[w][None, j : j + wide], out=xs)
-                np.bitwise_count(xs, out=es if w else ds)
-                if w:
-                    np.add(ds, es, out=ds)
-            at = np.flatnonzero(ds.ravel() <= MOST)  # nearly all pairs end here
-            a, b = i + at // wide, j + at % wide
-            ok = d[at].astype(np.int16) + np.bitwise_count(code[3][a] ^ code[3][b]) <= MOST
-            if not cut:
-                ok &= a < b
-            held.append((a[ok], b[ok]))
-            have += len(held[-1][0])
-            if have >= HANDED:
-                yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
-                held, have = [], 0
+    ``cut`` with rows from it on; all pairs, each once, if cut is 0."""
+    held, have = [], 0
+    room = [np.empty(TALL * WIDE, kind) for kind in (np.uint64, np.uint8, np.uint8, bool)]
+    for rows, columns, upto in _meeting(code, cut):
+        x, y = [w[rows] for w in code], [w[columns] for w in code]
+        i = 0
+        while i < len(rows) and (most := len(columns) if upto is None else int(upto[i])):
+            tall = max(TALL, TILE // most)
+            for j in range(0, most, WIDE):
+                a, b = _close([w[i : i + tall] for w in x], [w[j : min(j + WIDE, most)] for w in y], room)
+                a, b = a + i, b + j
+                if rows is columns:
+                    a, b = a[a < b], b[a < b]
+                if len(a):
+                    held.append((rows[a], columns[b]))
+                    have += len(a)
+                if have >= HANDED:
+                    yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+                    held, have = [], 0
+            i += tall
     if have:
         yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
 
@@ -186,9 +278,10 @@ def _highest(t: pa.Table) -> pa.Table:
 class MinHashClusters:
     """``wanted`` clusters of vectors by direction.
 
-    1. Each vector is a set of 256 sign tokens. Two are linked if the exact Jaccard of their sets is ``LINK`` at least. All
-       pairs are compared, so no link is missed, and time grows with the square of the rows: rows are dealt to blocks, and
-       each pair of blocks is a task. Its links are summed up there and never listed.
+    1. Each vector is a set of 256 sign tokens. Two are linked if the exact Jaccard of their sets is ``LINK`` at least. Rows
+       are dealt to blocks, and each pair of blocks is a task. All pairs are compared there but those that the triangle
+       inequality rules out, so no link is missed; time still grows with the square of the rows. Links are summed up in
+       the task and never listed.
     2. Links form connected components.
     3. A component is loose where a member is too far from its medoid, the id of highest degree. A loose one is split
        around its medoids - ids that are linked to none of higher degree: each id follows its links to ever higher

@@ -250,6 +250,35 @@ def test_cluster_links_are_all_pairs_that_are_similar(spark, monkeypatch, fewest
     assert {r.id: tuple(r.m) for r in top} == {i: max((degree[j], -j) for j in np.flatnonzero(similar[i] | similar[:, i]).tolist()) for i in range(len(x)) if degree[i]}
 
 
+@pytest.mark.parametrize("cut", [0, 1700])
+@pytest.mark.parametrize("kind", ["clusters", "none", "equal", "opposite"])
+def test_close_codes_are_all_found_while_far_groups_are_passed_over(monkeypatch, kind, cut):
+    """Codes of a cluster differ in a quarter of their bits; pairs at, just within and just beyond MOST are planted across clusters."""
+    import engrava.llm.clusters as clusters
+
+    rng = np.random.default_rng(13)
+    n, most = 3400, clusters.MOST
+    heart = rng.random((1 if kind == "equal" else 12, 256)) < 0.5
+    label = rng.integers(0, len(heart), n)
+    bits = heart[label] ^ (rng.random((n, 256)) < {"clusters": 0.15, "none": 0.5, "equal": 0, "opposite": 0.02}[kind])
+    if kind == "opposite":
+        bits[::2] = ~bits[1::2]
+    if kind in ("clusters", "none"):
+        for i, apart in enumerate([0, most - 1, most, most + 1] * 100):
+            bits[3000 + i] = bits[i] ^ (rng.permutation(256) < apart)
+    word = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    sign = bits.astype(np.float32) * 2 - 1
+    near = np.triu((256 - sign @ sign.T) / 2 <= most, 1)
+    if cut:
+        near[cut:], near[:, :cut] = False, False
+    counted, count = [0], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x, *a, **k: (counted.__setitem__(0, counted[0] + x.size), count(x, *a, **k))[1])
+    found = [np.minimum(a, b) * n + np.maximum(a, b) for a, b in clusters._hits([np.ascontiguousarray(word[:, w]) for w in range(4)], cut)]
+    assert np.array_equal(np.sort(np.concatenate(found)), np.flatnonzero(near)) and near.sum() > 100
+    if kind == "clusters":  # words looked at, of 4 a pair
+        assert counted[0] < 0.5 * 4 * (cut * (n - cut) if cut else n * (n - 1) // 2)
+
+
 def test_loose_components_are_split_around_medoids(spark):
     """A bridge of vectors turned step by step from one direction to another joins two clusters to one component."""
     rng = np.random.default_rng(6)
