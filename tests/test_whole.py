@@ -124,6 +124,34 @@ def test_paths_reach_all_nodes(spark, winding, monkeypatch):
     assert paths.EXACT == 4096 and paths.SOURCES == 512
 
 
+@pytest.mark.parametrize(("most", "levels", "of"), [(32, 24, 1), (1, 3, 5)])
+def test_reach_without_leaves_in_shared_bits(monkeypatch, most, levels, of):
+    """A hub with leaves, chains, a star, pairs and many alike components: sums of all shares are those of all nodes."""
+    monkeypatch.setattr(paths, "MOST", most)
+    monkeypatch.setattr(paths, "LEVELS", levels)
+    rng = random.Random(12)
+    edges = {(0, k) for k in range(1, 90)} | {(k, k + 1) for k in range(80, 130)} | {tuple(sorted(rng.sample(range(60, 400), 2))) for _ in range(420)} | {(500, 501), (502, 503), (600, 601), (600, 602)}
+    edges |= {(1000 + 4 * k + i, 1000 + 4 * k + j) for k in range(50) for i, j in ((0, 1), (1, 2), (2, 3), (0, 3))}
+    ends = sorted({x for e in edges for x in e})
+    x, y = np.searchsorted(ends, np.array(sorted(edges)).T)
+    h, n, total = (sum(z) for z in zip(*(paths.reached(x, y, len(ends), k, of) for k in range(of)), strict=True))
+    dist, _ = brute(edges)
+    for i, s in enumerate(ends):
+        near = [d for d in dist[s].values() if d]
+        assert (n[i], total[i]) == (len(near), sum(near)) and h[i] == pytest.approx(sum(1 / d for d in near))
+
+
+def test_reach_of_many_small_components_searches_once(monkeypatch):
+    """10,000 rings of four with a leaf each: 40,000 nodes to search from, in two words, for nodes with and without a leaf."""
+    searched, search = [], paths.Part.search
+    monkeypatch.setattr(paths.Part, "search", lambda self, begin, end: (searched.append(end - begin), search(self, begin, end))[1])
+    r = 5 * np.arange(10000)
+    x, y = np.concatenate([r, r + 1, r + 2, r, r]), np.concatenate([r + 1, r + 2, r + 3, r + 3, r + 4])
+    h, n, total = paths.reached(x, y, 50000, 0, 1)
+    assert sum(searched) == 2 and set(n) == {4}
+    assert np.allclose(h.reshape(-1, 5), [3.5, 3.0, 17 / 6, 3.0, 1 + 2 / 2 + 1 / 3]) and (total.reshape(-1, 5) == [5, 6, 7, 6, 8]).all()
+
+
 def test_hubness_and_opposites_take_all_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK", 60)
     rng = np.random.default_rng(3)
