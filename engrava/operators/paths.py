@@ -51,18 +51,42 @@ def components(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
             root = up
 
 
+def neighbours(rows: np.ndarray, near: np.ndarray, first: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """Those of all the rows, row by row."""
+    size = degree[rows]
+    ends = np.cumsum(size)
+    return near[np.arange(ends[-1]) + np.repeat(first[rows] - ends + size, size)]
+
+
+def outward(near: np.ndarray, first: np.ndarray, degree: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Each node's place when every component is walked breadth-first from its node of highest degree."""
+    by, at, done = np.lexsort((-degree, component)), np.full(len(degree), -1), 0
+    front = by[np.unique(component[by], return_index=True)[1]]
+    while len(front):
+        at[front] = done + np.arange(len(front))
+        done += len(front)
+        v = neighbours(front, near, first, degree)
+        v = v[at[v] < 0]
+        front = v[np.sort(np.unique(v, return_index=True)[1])]
+    return at
+
+
 class Part:
     """Components of about one size, without leaves, laid out for breadth-first searches from words of 64 sources, a bit each.
 
     Components don't meet, so their sources share bits. All sources of a block of words have equally many leaves. A look at a
-    neighbour costs a miss of the cache for one word as for many, so a block has many, if that leaves ``tasks`` enough to do."""
+    neighbour costs a miss of the cache for one word as for many, so a block has many, if that leaves ``tasks`` enough to do.
+    Rows and sources are in breadth-first order: neighbours are looked up more or less in turn, and the sources of a block are
+    about equally far from most rows, so that a row changes at few levels."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, component: np.ndarray, leaves: np.ndarray, tasks: int):
         u, v, n = np.concatenate([x, y]), np.concatenate([y, x]), len(component)
         degree = np.bincount(u, minlength=n)
         power = 1 << np.maximum(np.frexp(degree - 1)[1] - 1, 0)  # widths 1 to 4, 6, 8, 12, 16, ...: few, so that rows of one width are many
         width = np.where(degree <= 4, degree, np.where(degree <= power + power // 2, power + power // 2, 2 * power))
-        self.node = np.argsort(width, kind="stable")
+        order = np.argsort(u, kind="stable")
+        at = outward(v[order], np.cumsum(degree) - degree, degree, component)
+        self.node = np.lexsort((at, width))
         place = np.empty(n, np.int64)
         place[self.node] = np.arange(n)
         self.near, self.degree, width = place[v[np.argsort(place[u], kind="stable")]], degree[self.node], width[self.node]
@@ -76,7 +100,7 @@ class Part:
         self.component, self.arcs = np.unique(component[self.node], return_inverse=True)[1], len(u)
 
         weight = leaves[self.node]
-        order = np.lexsort((self.component, weight))
+        order = np.lexsort((at[self.node], self.component, weight))
         w, c = weight[order], self.component[order]
         starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
         sizes = np.diff(np.append(starts, n))
@@ -90,12 +114,6 @@ class Part:
         step, ends = max(1, min(MOST, TABLE // n, int(words.sum()) // (4 * tasks))), np.cumsum(words)
         self.blocks = [(k, min(int(end), k + step), int(w)) for w, size, end in zip(kinds, words, ends) for k in range(int(end - size), int(end), step)]  # (first word, last, leaves)
 
-    def _arcs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The neighbours of the rows, and where those of each begin."""
-        size = self.degree[rows]
-        starts = np.cumsum(size) - size
-        return self.near[np.arange(starts[-1] + size[-1]) + np.repeat(self.first[rows] - starts, size)], starts
-
     def search(self, begin: int, end: int):
         """From the sources of words begin..end-1, per level d = 1, 2, ...: (rows or all, how many are d away from each of them).
 
@@ -115,7 +133,7 @@ class Part:
             if late is not None and (active is None or len(late) < 4 * len(active)):
                 some = late = late[todo[late] > 0]
             elif active is not None:
-                mark[self._arcs(active)[0]] = True
+                mark[neighbours(active, self.near, self.first, self.degree)] = True
                 some = np.flatnonzero(mark)
                 mark[some] = False
                 some = some[todo[some] > 0]
